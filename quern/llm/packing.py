@@ -116,7 +116,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, fan_in:
     placed = "bin bigint, offset bigint, fill bigint, closed boolean, head boolean"
     base = cut_lineage(cut.mapInArrow(lambda b: _pack(b, capacity, block, slack, 0), f"id bigint, part int, start bigint, size bigint, {placed}"))
     groups, level = base.rdd.getNumPartitions(), 0
-    open_bins = base.where(~F.col("closed") & F.col("head")).select("bin", F.col("fill").alias("size"))
+    open_bins = base.where(~F.col("closed") & F.col("head")).select(F.col("bin").alias("child"), F.col("fill").alias("size"))
     left = open_bins.count()
     moved = None
     while left > 1 and level < MOST_ROUNDS:
@@ -130,7 +130,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, fan_in:
         else:  # underfull bins only, so this join stays small against the items
             old = moved.select("bin", F.col("parent").alias("child"), F.col("shift").alias("before"), F.col("filled").alias("was"))
             moved = old.join(step, "child", "left").select("bin", F.coalesce("parent", "child").alias("parent"), (F.col("before") + F.coalesce("shift", F.lit(0))).alias("shift"), F.coalesce("filled", "was").alias("filled"))
-        open_bins = merged.where(~F.col("closed") & F.col("head")).select("bin", F.col("fill").alias("size"))
+        open_bins = merged.where(~F.col("closed") & F.col("head")).select(F.col("bin").alias("child"), F.col("fill").alias("size"))
         before, left = left, open_bins.count()
         if groups == 1 or merged.where("head").count() * 100 > before * 99:
             break

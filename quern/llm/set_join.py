@@ -191,7 +191,7 @@ _SQL = f"""WITH {repo_names.CURRENT_SQL}, held AS (
 QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
 SQL = {
     "p2_found": _SQL + "SELECT repo_a, repo_b FROM pairs",
-    "p2_links": _SQL + """, both AS (SELECT repo_a AS id, repo_b AS other, i, u FROM pairs UNION ALL SELECT repo_b, repo_a, i, u FROM pairs)
+    "p2_links": _SQL + """, linked AS (SELECT repo_a AS id, repo_b AS other, i, u FROM pairs UNION ALL SELECT repo_b, repo_a, i, u FROM pairs)
 SELECT s.id, least(s.id, coalesce(min(other) FILTER (i = u), s.id)) AS class_id, 1 + count(other) FILTER (i = u) AS copies, count(other) AS links
-FROM sizes s LEFT JOIN both b ON b.id = s.id GROUP BY s.id""",
+FROM sizes s LEFT JOIN linked b ON b.id = s.id GROUP BY s.id""",
 }

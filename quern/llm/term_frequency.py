@@ -23,7 +23,11 @@ HEAVY_BYTES = 256
 
 def _tagged(terms: dict[str, Column]) -> Column:
     """All terms of a record in one array, each marked with the number of its field."""
-    arrays = [F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda x, i=i: F.concat(F.lit(f"{i}:"), x)) for i, t in enumerate(terms.values())]
+
+    def marked(i: int, column: Column) -> Column:
+        return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{i}:"), x))
+
+    arrays = [marked(i, column) for i, column in enumerate(terms.values())]
     return F.filter(F.concat(*arrays), lambda x: x.isNotNull())
 
 
