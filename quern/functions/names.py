@@ -10,6 +10,9 @@ WHITE_SPACE = (
     "[\\t-\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 )
 
+#: The same class in DuckDB SQL.
+SQL_SPACE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
 
 def nfc(name: Column) -> Column:
     """Unicode NFC. Pure ASCII is NFC already and skips the call; the rest goes to
@@ -24,14 +27,17 @@ def nfc(name: Column) -> Column:
     return F.when(F.octet_length(name) == F.char_length(name), name).otherwise(composed)
 
 
+def trimmed(text: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+
+
 def name_key(name: Column) -> Column:
     """The key of a name: NFC, lower case, trimmed, inner white space as one `-`.
 
     Null, empty and blank names have no key: the result is null.
     """
-    low = F.lower(nfc(name))
-    edges = F.regexp_replace(low, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
-    key = F.regexp_replace(edges, f"{WHITE_SPACE}+", "-")
+    key = F.regexp_replace(trimmed(F.lower(nfc(name))), f"{WHITE_SPACE}+", "-")
     return F.when(F.octet_length(key) > 0, key)
 
 
@@ -44,10 +50,12 @@ def name_keys(names: Column) -> Column:
     return F.coalesce(keys, F.array().cast("array<string>"))
 
 
+def trimmed_sql(text: str) -> str:
+    """The same trimming in DuckDB SQL."""
+    return f"regexp_replace({text}, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+
+
 def name_key_sql(name: str) -> str:
     """The same key in DuckDB SQL, for the comparison queries."""
-    ws = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-    return (
-        f"nullif(regexp_replace(regexp_replace(lower(nfc_normalize({name})), "
-        f"'^{ws}+|{ws}+$', '', 'g'), '{ws}+', '-', 'g'), '')"
-    )
+    key = f"regexp_replace({trimmed_sql(f'lower(nfc_normalize({name}))')}, '{SQL_SPACE}+', '-', 'g')"
+    return f"nullif({key}, '')"
