@@ -17,6 +17,8 @@ SEED = 20240229
 SALTS = 64
 #: Budget left to the exact fit; above it, documents are taken length by length.
 EXACT_BUDGET = 1 << 17
+#: Budget that the exact fit is given at least, where as much was taken before.
+ROOM = 1 << 15
 
 
 def exact_fit(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
@@ -58,7 +60,7 @@ def fit_source(lengths: list[int], counts: list[int], budget: int, max_repeats:
     The total is as near below the budget as whole documents allow, or, if even
     max_repeats passes don't reach it, those passes. After whole passes each length
     gives the remaining share of its documents, rounded down; then lengths in seeded
-    order close most of the gap, and exact_fit the rest.
+    order close most of the gap, or open it to ROOM, and exact_fit closes the rest.
     """
     size = sum(length * n for length, n in zip(lengths, counts))
     if size <= 0 or max_repeats <= 0 or budget <= 0:
@@ -77,6 +79,14 @@ def fit_source(lengths: list[int], counts: list[int], budget: int, max_repeats:
             n = min(counts[i] - take[i], (rest - EXACT_BUDGET) // lengths[i] + 1, rest // lengths[i])
             take[i] += n
             rest -= n * lengths[i]
+    while rest < ROOM:  # too little to choose from: give some documents back
+        before = rest
+        for i in order:
+            if rest < ROOM and take[i] and lengths[i] > 0:
+                take[i] -= 1
+                rest += lengths[i]
+        if rest == before:
+            break
     if rest <= EXACT_BUDGET:
         more, _ = exact_fit([lengths[i] for i in order], [counts[i] - take[i] for i in order], rest)
         for i, n in zip(order, more):
