@@ -28,7 +28,7 @@ class Rule:
     member names, `^` (to the enclosing value), last `@key` (its own member name) or
     `@value` (itself). kinds: kinds of values that count, default all but null.
     unless: (member, kind) of the enclosing object whose presence voids the row;
-    without: member names that don't count under `*`.
+    without: member names that don't count under `*`; needs: members the value must have.
     """
 
     table: str
@@ -37,11 +37,12 @@ class Rule:
     kinds: frozenset[int] = frozenset({J.OBJ, J.ARR, J.STR, J.NUM, J.BOOL})
     unless: tuple[tuple[str, int], ...] = ()
     without: frozenset[str] = field(default_factory=frozenset)
+    needs: tuple[str, ...] = ()
 
 
 def _names(rules: list[Rule]) -> list[str]:
     steps = {s for r in rules for p in (r.path, *r.fields.values()) for s in p}
-    steps |= {name for r in rules for name, _ in r.unless} | {name for r in rules for name in r.without}
+    steps |= {name for r in rules for name, _ in r.unless} | {name for r in rules for name in (*r.without, *r.needs)}
     return sorted(steps - {ANY_MEMBER, ANY_ELEMENT, UP, KEY, SELF})
 
 
@@ -101,6 +102,10 @@ class _Matcher:
         found = found[np.isin(ix.kind[found], list(rule.kinds))]
         for name in rule.without:
             found = found[self.names[found] != self.code[name]]
+        for name in rule.needs:
+            has = np.zeros(len(ix.row) + 1, bool)
+            has[ix.parent[self.names == self.code[name]]] = True
+            found = found[has[found]]
         if rule.unless and len(found):
             for name, kind in rule.unless:
                 void = np.zeros(len(ix.row) + 1, bool)
@@ -137,8 +142,8 @@ class _Matcher:
 
 def flatten_texts(texts: pa.Array, rules: list[Rule]) -> tuple[np.ndarray, list[tuple[Rule, np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]], np.ndarray]:
     """Whether each text is valid JSON, and for each rule the rows found in them:
-    (rule, number of the text, number of the value, number of the enclosing value,
-    fields). A text that is a string holding JSON counts as the JSON held."""
+    (rule, number of the text, number of the value, number of the nearest enclosing
+    value that is a row too or -1, fields). A text that is a string holding JSON counts as the JSON held."""
     names, out = _names(rules), []
     data, offsets = J.text_buffers(texts)
     origin = np.arange(len(offsets) - 1)
@@ -151,13 +156,19 @@ def flatten_texts(texts: pa.Array, rules: list[Rule]) -> tuple[np.ndarray, list[
         first = np.full(len(offsets), 0, np.int64)
         roots = np.flatnonzero(index.level == 0)
         first[index.row[roots]] = roots
+        found, is_row = [], np.zeros(len(index.row), bool)
         for rule in rules:
             rows = match.rows(rule)
             if len(held):
                 rows = rows[~((index.level[rows] == 0) & (index.kind[rows] == J.STR))]
+            found.append(rows)
+            is_row[rows] = True
+        for rule, rows in zip(rules, found):
             if len(rows):
-                base = first[index.row[rows]]
-                up = np.where(index.parent[rows] >= 0, index.parent[rows] - base, -1)
+                base, up = first[index.row[rows]], index.parent[rows]
+                while (climb := (up >= 0) & ~is_row[up]).any():
+                    up = np.where(climb, index.parent[up], up)
+                up = np.where(up >= 0, up - base, -1)
                 out.append((rule, origin[index.row[rows]], rows - base, up, [match.field(rows, s) for s in rule.fields.values()]))
         if not len(held):
             return valid, out
@@ -182,10 +193,10 @@ def flatten_json(df: DataFrame, record_id: str, text: str, rules: list[Rule]) ->
     """Rows of all flat tables that `rules` find in the JSON column `text`.
 
     Result: record_id BIGINT (of the row the text stands in), child STRING (the
-    table), node BIGINT and parent_node BIGINT (numbers, within the record, of the
-    value and of the value that encloses it: a row's children are the rows of the
-    same record whose path leads through its node), and all fields of all rules
-    as STRING columns, null where a rule has no such field. Narrow: no shuffle.
+    table), node BIGINT (the number of the value within the record), parent_node
+    BIGINT (the node of the row that encloses it most closely, -1 if none does), and all
+    fields of all rules as STRING columns, null where a rule has no such field. Narrow:
+    no shuffle.
 
     Null, empty and invalid texts give no rows; a null record_id is kept as null.
     Other columns of `df`, whatever their names, don't matter. Fields hold strings

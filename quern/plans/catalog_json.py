@@ -16,7 +16,7 @@ _OBJECT = frozenset({J.OBJ})
 
 def _people(*path: str, **more: tuple[str, ...]) -> list[Rule]:
     return [
-        Rule("contributor", path, {**_PERSON, **more}, _OBJECT),
+        Rule("contributor", path, {**_PERSON, **more}, _OBJECT, needs=("login",)),
         Rule("week", (*path, "weeks", "[*]"), {"login": ("^", "^", "login"), "w": ("w",), "c": ("c",)}, _OBJECT),
     ]
 
@@ -37,7 +37,7 @@ _EDGES = ("edges", "[*]", "node")
 LANGUAGES = [
     Rule("language", ("*",), {"language": ("@key",), "size": ("@value",)}, frozenset({J.NUM, J.NULL}), unless=(("name", J.STR),), without=frozenset({"edges", "data", "languages"})),
     Rule("language", ("[*]",), {"language": ("name",), "size": ("bytes",), "color": ("color",)}, _OBJECT),
-    Rule("language", (), {"language": ("name",), "size": ("bytes",), "color": ("color",)}, _OBJECT),
+    Rule("language", (), {"language": ("name",), "size": ("bytes",), "color": ("color",)}, _OBJECT, needs=("name",)),
     Rule("language", _EDGES, _EDGE, _OBJECT),
     Rule("language", ("languages", *_EDGES), _EDGE, _OBJECT),
     Rule("language", ("data", "*", "languages", *_EDGES), _EDGE, _OBJECT),
@@ -63,9 +63,10 @@ def contributors(repos: DataFrame) -> DataFrame:
 
 
 def weeks(repos: DataFrame) -> DataFrame:
-    """seq, node, login, w, c of each week with a name, of a contributor with one."""
+    """seq, node, parent_node, login, w, c of each week with a name, of a contributor with
+    one; parent_node is the contributor's node in the same record."""
     rows = contributor_rows(repos).where((F.col("child") == "week") & _named("login") & _named("w"))
-    return rows.select(F.col("record_id").alias("seq"), "node", "login", "w", F.expr("try_cast(c AS BIGINT)").alias("c"))
+    return rows.select(F.col("record_id").alias("seq"), "node", "parent_node", "login", "w", F.expr("try_cast(c AS BIGINT)").alias("c"))
 
 
 def languages(repos: DataFrame) -> DataFrame:
