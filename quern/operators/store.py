@@ -178,9 +178,10 @@ def newer_than(pages: DataFrame, watermark: Column, position: list[str], within:
     """
     place = F.struct(*position)
     stale = pages.where(F.col("starred_at") <= watermark)
-    if within is None:
-        first = stale.agg(F.min(place).alias("_stop")).first()[0]
-        return pages if first is None else pages.where(place < F.struct(*[F.lit(first[c]) for c in position]))
+    if within is None:  # one listing: its stop is one row
+        stop = F.broadcast(stale.agg(F.min(place).alias("_stop")).withColumn("_one", F.lit(1)))
+        joined = pages.withColumn("_one", F.lit(1)).join(stop, "_one")
+        return joined.where(F.col("_stop").isNull() | (place < F.col("_stop"))).drop("_stop", "_one")
     stops = stale.groupBy(*within).agg(F.min(place).alias("_stop"))
     return pages.join(stops, within, "left").where(F.col("_stop").isNull() | (place < F.col("_stop"))).drop("_stop")
 
