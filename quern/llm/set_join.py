@@ -34,6 +34,7 @@ def classes_of(sets: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """
     clean = sets.where(F.col("id").isNotNull()).select("side", "id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens"))
     clean = clean.where(F.size("tokens") >= max(min_size, 1)).select("side", "id", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), "tokens").alias("h2"))
+    clean = cut_lineage(clean)  # read three times below: for the classes, their order and the members
     # The set itself is part of the key, so that equal hashes alone make no class.
     grouped = clean.groupBy("h1", "h2", "tokens").agg(F.min(F.struct("side", "id")).alias("class"), F.max(F.when(F.col("side") == 0, 1).otherwise(2)).alias("hi"), F.min(F.when(F.col("side") == 0, 1).otherwise(2)).alias("lo"))
     grouped = grouped.select("h1", "h2", "tokens", "class", F.col("lo").bitwiseOR(F.col("hi")).alias("sides"))
