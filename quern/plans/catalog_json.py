@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.names import WHITE_SPACE
+from quern.functions.names import WHITE_SPACE, trimmed_sql
 from quern.operators import json_index as J
 from quern.operators.nested import Rule, flatten_json
 from quern.session import read_table
@@ -116,4 +116,27 @@ def p3_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_contributors, p3_weeks, p3_languages, p3_owners)}
-SQL: dict[str, str] = {}
+
+_UNWRAP = """SELECT {key} AS k, CASE WHEN json_type(t) = 'VARCHAR' THEN TRY_CAST(t->>'$' AS JSON) ELSE t END AS j
+  FROM (SELECT {key}, TRY_CAST({column} AS JSON) AS t FROM {table} WHERE json_valid({column}))"""
+_EACH = "SELECT k, unnest(json_extract(j, '{}')) AS p FROM {}"
+_HAS = lambda x: f"({x}) IS NOT NULL AND {trimmed_sql(x)} <> ''"
+
+SQL = {
+    "p3_found": f"""WITH c AS ({_UNWRAP.format(key="seq", column="contributors_json", table="repos")}),
+l AS ({_UNWRAP.format(key="seq", column="languages_json", table="repos")}),
+o AS ({_UNWRAP.format(key="snapshot_no", column="payload", table="star_items")}),
+people AS (SELECT k, p, p->>'$.login' AS login FROM ({" UNION ALL ".join([_EACH.format(x, "c") for x in ("$[*]", "$.items[*]", "$.nodes[*]", "$.edges[*].node")])} UNION ALL SELECT k, j FROM c) WHERE json_type(p) = 'OBJECT' AND {_HAS("p->>'$.login'")}),
+weeks AS (SELECT k, login, w->>'$.w' AS w FROM (SELECT k, login, unnest(json_extract(p, '$.weeks[*]')) AS w FROM people) WHERE json_type(w) = 'OBJECT' AND {_HAS("w->>'$.w'")}),
+keys AS (SELECT k, j, unnest(json_keys(j)) AS name FROM l WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.name') IS DISTINCT FROM 'VARCHAR'),
+named AS (
+  SELECT k, name FROM keys WHERE name NOT IN ('edges', 'data', 'languages') AND json_type(j, '/' || replace(replace(name, '~', '~0'), '/', '~1')) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT', 'NULL')
+  UNION ALL SELECT k, p->>'$.name' FROM ({" UNION ALL ".join([_EACH.format(x, "l") for x in ("$[*]", "$.edges[*].node", "$.languages.edges[*].node", "$.data.*.languages.edges[*].node")])} UNION ALL SELECT k, j FROM l) WHERE json_type(p) = 'OBJECT'
+)
+SELECT DISTINCT * FROM (
+  SELECT 'contributor' AS child, k AS parent_id, login AS child_key FROM people
+  UNION ALL SELECT 'week', k, login || '/' || w FROM weeks
+  UNION ALL SELECT 'language', k, name FROM named WHERE {_HAS("name")}
+  UNION ALL SELECT 'owner', TRY_CAST(j->>'$.repo.id' AS BIGINT), j->>'$.repo.owner.login' FROM o WHERE {_HAS("j->>'$.repo.owner.login'")}
+) WHERE parent_id IS NOT NULL""",
+}
