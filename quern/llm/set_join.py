@@ -24,32 +24,33 @@ HOT_SHARE, HOT_LEAST = 1024, 4096
 HOT_BLOCKS = 16
 
 
-def classes_of(sets: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
-    """Records with equal sets are one class. Returns the members (side, id, class)
-    and the classes (class, tokens, sides).
-
-    sets: side INT, id BIGINT, tokens ARRAY<STRING>. The class is named by its least
-    (side, id). Null tokens don't count, repeated ones count once, and records with a
-    null id, a null set or fewer than min_size tokens are in no class.
+def classes_of(sets: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records with equal sets are one class. Returns the clean sets, the members (side,
+    id, class) and the classes (class, tokens, sides).
+
+    sets: side INT, id BIGINT, tokens ARRAY<STRING>. A class is named by its least
+    (side, id); sets are held equal by 128 bits of hash. Null tokens don't count,
+    repeated ones count once, and records with a null id, a null set or fewer than
+    min_size tokens are in no class. The clean sets are written once and read for the
+    rarity table, the classes and the members.
     """
     clean = sets.where(F.col("id").isNotNull()).select("side", "id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens"))
     clean = clean.where(F.size("tokens") >= max(min_size, 1)).select("side", "id", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), "tokens").alias("h2"))
-    clean = cut_lineage(clean)  # read three times below: for the classes, their order and the members
-    # The set itself is part of the key, so that equal hashes alone make no class.
-    grouped = clean.groupBy("h1", "h2", "tokens").agg(F.min(F.struct("side", "id")).alias("class"), F.max(F.when(F.col("side") == 0, 1).otherwise(2)).alias("hi"), F.min(F.when(F.col("side") == 0, 1).otherwise(2)).alias("lo"))
-    grouped = grouped.select("h1", "h2", "tokens", "class", F.col("lo").bitwiseOR(F.col("hi")).alias("sides"))
-    members = clean.join(grouped.select("h1", "h2", "tokens", "class"), ["h1", "h2", "tokens"]).select("side", "id", "class")
-    return members, grouped.select("class", "tokens", "sides")
+    clean = cut_lineage(clean)
+    bit = F.col("side") + 1
+    grouped = clean.groupBy("h1", "h2").agg(F.min(F.struct("side", "id")).alias("class"), F.min(bit).bitwiseOR(F.max(bit)).alias("sides"), F.first("tokens").alias("tokens"))
+    members = clean.select("h1", "h2", "side", "id").join(grouped.select("h1", "h2", "class"), ["h1", "h2"]).select("side", "id", "class")
+    return clean, members, grouped.select("class", "tokens", "sides")
 
 
-def order_by_rarity(classes: DataFrame, width: int = RARITY_WIDTH) -> DataFrame:
+def order_by_rarity(classes: DataFrame, sets: DataFrame, width: int = RARITY_WIDTH) -> DataFrame:
     """Sorts the tokens of each class, rarest first, by one total order for all classes.
 
-    The order is (number of classes in the token's slot of a table of `width` counts,
+    The order is (number of sets with a token in the slot of a table of `width` counts,
     token). The table has a fixed size, so it can be broadcast whatever the number of
     tokens; sharing a slot costs some rarity, never a pair.
     """
-    slots = classes.select(F.explode("tokens").alias("t")).groupBy(F.pmod(F.crc32(F.encode("t", "UTF-8")), F.lit(width)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    slots = sets.select(F.explode("tokens").alias("t")).groupBy(F.pmod(F.crc32(F.encode("t", "UTF-8")), F.lit(width)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     table = np.zeros(width, np.int64)
     for slot, n in slots.collect():  # at most `width` rows
         table[slot] = n
@@ -78,7 +79,7 @@ def _ceil(num: int, den: int, of: Column) -> Column:
     return F.floor((of * num + (den - 1)) / F.lit(den)).cast("int")
 
 
-def similar_classes(classes: DataFrame, threshold: str, between: bool = False, hot_least: int = HOT_LEAST) -> DataFrame:
+def similar_classes(classes: DataFrame, sets: DataFrame, threshold: str, between: bool = False, hot_least: int = HOT_LEAST) -> DataFrame:
     """class_a, class_b, overlap, n_union: all pairs of different sets whose Jaccard
     similarity is at least `threshold`, each once.
 
@@ -86,47 +87,57 @@ def similar_classes(classes: DataFrame, threshold: str, between: bool = False, h
     are ordered by rarity; a set of n tokens is indexed under its first
     n - ceil(2t/(1+t) n) + 1 and looked up under its first n - ceil(t n) + 1, among
     sets no longer than itself. Length and position bound the overlap before it is
-    counted exactly. Index rows of a token that holds a large part of the index are
-    split into blocks, its lookups sent to each.
+    counted. Index rows of a token that holds a large part of the index are split into
+    blocks, its lookups sent to each.
+
+    The index holds tokens as 32-bit hashes, a third of their size. Equal tokens have
+    equal hashes, so no pair is lost: overlaps counted on hashes are too large, or, where
+    hashes agree within a set, short by at most the number that agree, which is added.
+    The few candidates left are verified on the tokens themselves.
     """
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
-    base = cut_lineage(order_by_rarity(classes))
-    n = F.size("tokens")
-    sized = base.select("class", "tokens", "sides", n.alias("n"))
+    base = cut_lineage(order_by_rarity(classes, sets))
+    codes = F.transform("tokens", lambda t: F.hash(t))
+    sized = base.select("class", codes.alias("codes"), "sides", F.size("tokens").alias("n"))
     # Sets of similar length are in the same or in neighbouring length bands.
     band = lambda c: F.floor(F.log(c) / F.lit(float(np.log(1 / float(t))))).cast("int") if t < 1 else c.cast("int")
     size = F.col("n")
     index_len = size - _ceil(2 * num, num + den, size) + 1
     probe_len = size - _ceil(num, den, size) + 1
-    index = sized.select("class", "tokens", "sides", "n", band(size).alias("band"), F.posexplode(F.slice("tokens", F.lit(1), index_len)).alias("pos", "token"))
-    probe = sized.select("class", "tokens", "sides", "n", F.explode(F.sequence(band(_ceil(num, den, size)), band(size))).alias("band"), F.slice("tokens", F.lit(1), probe_len).alias("prefix"))
-    probe = probe.select("class", "tokens", "sides", "n", "band", F.posexplode("prefix").alias("pos", "token"))
+    index = sized.select("class", "codes", "sides", "n", band(size).alias("band"), F.posexplode(F.slice("codes", F.lit(1), index_len)).alias("pos", "code"))
+    probe = sized.select("class", "codes", "sides", "n", F.explode(F.sequence(band(_ceil(num, den, size)), band(size))).alias("band"), F.slice("codes", F.lit(1), probe_len).alias("prefix"))
+    probe = probe.select("class", "codes", "sides", "n", "band", F.posexplode("prefix").alias("pos", "code"))
 
-    per_key = index.groupBy("token", "band").agg(F.count("*").alias("rows"))
+    per_key = index.groupBy("code", "band").agg(F.count("*").alias("rows"))
     total = per_key.agg(F.sum("rows")).first()[0] or 0
-    hot = per_key.where((F.col("rows") >= hot_least) & (F.col("rows") * HOT_SHARE >= total)).select("token", "band", F.lit(HOT_BLOCKS).alias("blocks"))
+    hot = per_key.where((F.col("rows") >= hot_least) & (F.col("rows") * HOT_SHARE >= total)).select("code", "band", F.lit(HOT_BLOCKS).alias("blocks"))
     hot = F.broadcast(hot)  # at most HOT_SHARE rows
     blocks = F.coalesce("blocks", F.lit(1))
-    index = index.join(hot, ["token", "band"], "left").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    probe = probe.join(hot, ["token", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    index = index.join(hot, ["code", "band"], "left").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    probe = probe.join(hot, ["code", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
-    keys = ["token", "band", "block"]
-    x = index.select(*keys, *[F.col(c).alias(f"x_{c}") for c in ("class", "tokens", "sides", "n", "pos")])
-    y = probe.select(*keys, *[F.col(c).alias(f"y_{c}") for c in ("class", "tokens", "sides", "n", "pos")])
+    keys = ["code", "band", "block"]
+    x = index.select(*keys, *[F.col(c).alias(f"x_{c}") for c in ("class", "codes", "sides", "n", "pos")])
+    y = probe.select(*keys, *[F.col(c).alias(f"y_{c}") for c in ("class", "codes", "sides", "n", "pos")])
     both = x.join(y, keys).where(
         ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_class") < F.col("y_class"))))
         & (F.col("x_n") * den >= F.col("y_n") * num)
         # No common token stands before this one, so it and what follows is all there can be.
         & ((F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
-        & ~F.arrays_overlap(F.slice("x_tokens", F.lit(1), F.col("x_pos")), F.slice("y_tokens", F.lit(1), F.col("y_pos")))
+        & ~F.arrays_overlap(F.slice("x_codes", F.lit(1), F.col("x_pos")), F.slice("y_codes", F.lit(1), F.col("y_pos")))
     )
     if between:
         both = both.where(F.col("x_sides").bitwiseOR(F.col("y_sides")) == 3)
-    overlap = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    out = both.select("x_class", "y_class", overlap.alias("overlap"), (F.col("x_n") + F.col("y_n") - overlap).alias("n_union"))
-    out = out.where(F.col("overlap") * den >= F.col("n_union") * num)
-    return out.select(F.least("x_class", "y_class").alias("class_a"), F.greatest("x_class", "y_class").alias("class_b"), "overlap", "n_union")
+    alike = F.size(F.array_intersect("x_codes", "y_codes")) + F.col("x_n") - F.size(F.array_distinct("x_codes"))
+    # Candidates: overlap / (n + m - overlap) >= num / den, with all that the overlap can be.
+    maybe = both.where(alike * (num + den) >= (F.col("x_n") + F.col("y_n")) * num)
+    maybe = maybe.select(F.least("x_class", "y_class").alias("class_a"), F.greatest("x_class", "y_class").alias("class_b")).distinct()
+    for s in "ab":
+        maybe = maybe.join(base.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")), f"class_{s}")
+    overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    out = maybe.select("class_a", "class_b", overlap.alias("overlap"), (F.size("tokens_a") + F.size("tokens_b") - overlap).alias("n_union"))
+    return out.where(F.col("overlap") * den >= F.col("n_union") * num)
 
 
 def similar_sets(left: DataFrame, threshold: str = "0.8", min_size: int = 1, right: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +151,8 @@ def similar_sets(left: DataFrame, threshold: str = "0.8", min_size: int = 1, rig
     sets = left.select(F.lit(0).alias("side"), F.col("id").cast("bigint").alias("id"), "tokens")
     if right is not None:
         sets = sets.unionByName(right.select(F.lit(1).alias("side"), F.col("id").cast("bigint").alias("id"), "tokens"))
-    members, classes = classes_of(sets, min_size)
-    return members, similar_classes(classes, threshold, between=right is not None)
+    clean, members, classes = classes_of(sets, min_size)
+    return members, similar_classes(classes, clean, threshold, between=right is not None)
 
 
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
