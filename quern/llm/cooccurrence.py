@@ -96,7 +96,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repo_names.repos(spark, sf_dir)
-    return cooccurring(repo_baskets(rows), repo_names.count_current(rows))
+    pairs = cooccurring(repo_baskets(rows), repo_names.count_current(rows))
+    return pairs.withColumns({c: F.round(c, 9) for c in ("lift", "pmi")})
 
 
 _SQL = f"""WITH {repo_names.CURRENT_SQL}, held AS (
@@ -116,5 +117,5 @@ _SQL = f"""WITH {repo_names.CURRENT_SQL}, held AS (
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs}
 SQL = {
     "p5_found": _SQL + "SELECT item_a, item_b FROM measured WHERE n_a * 1000 >= 5 * t AND n_b * 1000 >= 5 * t AND n_ab >= 5 AND n_ab * 1000 >= t AND n_ab * t >= 3 * n_a * n_b",
-    "p5_pairs": _SQL + "SELECT item_a, item_b, n_a, n_b, n_ab, lift, pmi FROM measured",
+    "p5_pairs": _SQL + "SELECT item_a, item_b, n_a, n_b, n_ab, round(lift, 9) AS lift, round(pmi, 9) AS pmi FROM measured",
 }
