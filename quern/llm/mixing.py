@@ -133,14 +133,14 @@ class Mix:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED):
         self.spark, self.seed = documents.sparkSession, seed
-        self.targets = clean_targets(targets)
-        wanted = self.targets.select("source")
+        wanted = clean_targets(targets).collect()  # one row per source
         key = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))
-        sized = documents.select("id", "source", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")).join(wanted, "source")
+        sized = documents.select("id", "source", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
+        sized = sized.where(F.col("source").isin([r.source for r in wanted]))
         self.documents = cut_lineage(sized.select("id", "source", "size", key.alias("order"), F.pmod(key, F.lit(SALTS)).cast("int").alias("salt")))
         counts = self.documents.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
         held = {r.source: r.s for r in self.documents.groupBy("source").agg(F.sum("size").alias("s")).collect()}
-        rows = [(r.source, r.weight, r.max_repeats, held.get(r.source, 0)) for r in self.targets.collect()]
+        rows = [(r.source, r.weight, r.max_repeats, held.get(r.source, 0)) for r in wanted]
         self.total = sum(r[3] for r in rows) if total is None else total
         self.rows = [(*r, int(round(r[1] * self.total)), r[2] * r[3] < r[1] * self.total) for r in rows]
         budgets = {r[0]: (r[4], r[2]) for r in self.rows}

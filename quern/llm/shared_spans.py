@@ -38,6 +38,9 @@ SKETCH_FLUSH = 1 << 22
 RUNS_HELD = 100_000
 #: Different runs of one anchor that are compared in one task; beyond, their windows are grouped across the cluster.
 RUNS_PER_ANCHOR = 8192
+#: A run is hot if it makes up at least one in HOT_SHARE of all occurrences, so at most
+#: that many are, and has HOT_LEAST of them; its occurrences are split into HOT_PARTS.
+HOT_SHARE, HOT_LEAST, HOT_PARTS = 1024, 10_000, 64
 
 _POSITION = np.uint64(22)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -258,25 +261,31 @@ def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-_RUN_COLUMNS = ("anchor", "c1", "c2", "windows", "low", "high")
+def _summed(order: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least, greatest and sum within each group."""
+    return np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(times[order], first)
+
+
+_RUN_COLUMNS = ("anchor", "c1", "c2", "windows", "low", "high", "times")
 
 
 def _distinct_runs(batches, length, gram, shared) -> Iterator[pa.RecordBatch]:
-    """Repeated runs of a partition, equal ones once, with the least and greatest id of their documents."""
+    """Repeated runs of a partition, equal ones once, with the least and greatest id of
+    their documents and their number."""
 
     def flush(held: list[list[np.ndarray]], texts: list[str]) -> pa.RecordBatch:
-        anchor, c1, c2, windows, low, high = (np.concatenate(x) for x in zip(*held))
+        anchor, c1, c2, windows, low, high, times = (np.concatenate(x) for x in zip(*held))
         order, first = _first_of_each(c1, c2)
         keep = order[first]
-        low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-        return pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in (anchor, c1, c2, windows)], pa.array(low), pa.array(high), pa.array([texts[i] for i in keep.tolist()], pa.string())], names=[*_RUN_COLUMNS, "text"])
+        summed = _summed(order, first, low, high, times)
+        return pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in (anchor, c1, c2, windows)], *map(pa.array, summed), pa.array([texts[i] for i in keep.tolist()], pa.string())], names=[*_RUN_COLUMNS, "text"])
 
     held, texts = [], []
     for runs, pick, c1, c2 in _repeated_runs(batches, length, gram, shared):
         doc = runs.doc[pick]
         order, first = _first_of_each(c1, c2)
         keep = order[first]
-        held.append([runs.anchor[pick][keep], c1[keep], c2[keep], runs.count[pick][keep], np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)])
+        held.append([runs.anchor[pick][keep], c1[keep], c2[keep], runs.count[pick][keep], *_summed(order, first, doc, doc, np.ones(len(doc), np.int64))])
         begin = runs.start[pick][keep]
         end = begin + runs.count[pick][keep] + length - 1
         texts += [runs.text[a:b] for a, b in zip(begin.tolist(), end.tolist())]
@@ -304,7 +313,7 @@ def _window_hashes(texts: pa.Array, windows: np.ndarray, length: int) -> tuple[n
     return run, number, *[_Hashes(points, k).of(start, start + length).view(np.int64) for k in (0, 1)]
 
 
-_RESOLVED = "c1 bigint, c2 bigint, begin bigint, stop bigint, w1 bigint, w2 bigint, low bigint, high bigint"
+_RESOLVED = "c1 bigint, c2 bigint, begin bigint, stop bigint, times bigint, w1 bigint, w2 bigint, low bigint, high bigint"
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -313,20 +322,20 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
     windows themselves, which are still to be grouped (w1, w2)."""
     names = [*_RUN_COLUMNS, "text"]
 
-    def out(c1, c2, begin, stop, windows=None) -> pa.RecordBatch:
+    def out(c1, c2, begin, stop, times, windows=None) -> pa.RecordBatch:
         n = len(c1)
         rest = [pa.array(x) for x in windows] if windows else [pa.nulls(n, pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c1, c2, begin, stop)] + rest, names=["c1", "c2", "begin", "stop", "w1", "w2", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c1, c2, begin, stop, times)] + rest, names=["c1", "c2", "begin", "stop", "times", "w1", "w2", "low", "high"])
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, c1, c2, windows, low, high = (table.column(n).to_numpy() for n in _RUN_COLUMNS)
+        anchor, c1, c2, windows, low, high, times = (table.column(n).to_numpy() for n in _RUN_COLUMNS)
         order, first = _first_of_each(anchor, c1, c2)
         keep = order[first]
-        low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+        low, high, times = _summed(order, first, low, high, times)
         anchor, c1, c2, windows = anchor[keep], c1[keep], c2[keep], windows[keep]
         whole = low != high
         if whole.any():
-            yield out(c1[whole], c2[whole], np.zeros(whole.sum(), np.int64), windows[whole])
+            yield out(c1[whole], c2[whole], np.zeros(whole.sum(), np.int64), windows[whole], times[whole])
         # Runs that stand in one document alone may share windows with other runs of their anchor.
         group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
         size = np.bincount(group)
@@ -346,12 +355,12 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
             begin = np.flatnonzero(shared & ~np.r_[False, shared[:-1] & (run[1:] == run[:-1])])
             stop = np.flatnonzero(shared & ~np.r_[shared[1:] & (run[1:] == run[:-1]), False])
             if len(begin):
-                yield out(c1[sub][run[begin]], c2[sub][run[begin]], number[begin], number[stop] + 1)
+                yield out(c1[sub][run[begin]], c2[sub][run[begin]], number[begin], number[stop] + 1, times[sub][run[begin]])
 
     def spread(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, c1, c2, windows, low, high = (table.column(n).to_numpy() for n in _RUN_COLUMNS)
+        anchor, c1, c2, windows, low, high, times = (table.column(n).to_numpy() for n in _RUN_COLUMNS)
         run, number, h1, h2 = _window_hashes(table.column("text"), windows, length)
-        yield out(c1[run], c2[run], number, number + 1, (h1, h2, low[run], high[run]))
+        yield out(c1[run], c2[run], number, number + 1, times[run], (h1, h2, low[run], high[run]))
 
     held, hot = None, None
     for batch in batches:
@@ -389,7 +398,7 @@ def _cuts(group: np.ndarray, about: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int | None = None, most: int = RUNS_PER_ANCHOR) -> DataFrame:
+def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int | None = None, most: int = RUNS_PER_ANCHOR, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, span_start, span_end: the maximal stretches of characters that lie in some
     window of `length` characters which also stands in a document with another doc_id.
     Positions count code points from 0; span_end is the first character after the span.
@@ -406,15 +415,23 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     gram = min(gram, length)
     texts = documents.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= length)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shared = documents.sparkSession.sparkContext.broadcast(repeated_anchors(texts, length, gram, bits))
-    runs = texts.mapInArrow(lambda b: _distinct_runs(b, length, gram, shared), "anchor bigint, c1 bigint, c2 bigint, windows bigint, low bigint, high bigint, text string")
+    runs = texts.mapInArrow(lambda b: _distinct_runs(b, length, gram, shared), "anchor bigint, c1 bigint, c2 bigint, windows bigint, low bigint, high bigint, times bigint, text string")
     in_order = runs.repartition("anchor").sortWithinPartitions("anchor")
     resolved = cut_lineage(in_order.mapInArrow(lambda b: _resolve(b, length, most), _RESOLVED))
-    ready = resolved.where(F.col("w1").isNull()).select("c1", "c2", "begin", "stop")
+    columns = ["c1", "c2", "begin", "stop", "times"]
+    ready = resolved.where(F.col("w1").isNull()).select(*columns)
     loose = resolved.where(F.col("w1").isNotNull())
     again = loose.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("high").alias("greatest")).where(F.col("least") != F.col("greatest"))
-    ready = ready.unionByName(loose.join(again, ["w1", "w2"]).select("c1", "c2", "begin", "stop").distinct())
+    ready = ready.unionByName(loose.join(again, ["w1", "w2"]).select(*columns).distinct())
     places = texts.mapInArrow(lambda b: _places(b, length, gram, shared), "c1 bigint, c2 bigint, doc_id bigint, offset bigint")
-    spans = places.join(ready, ["c1", "c2"]).select("doc_id", (F.col("offset") + F.col("begin")).alias("s"), (F.col("offset") + F.col("stop") + (length - 1)).alias("e"))
+    # The occurrences of a hot run are dealt to several tasks, and the run goes to each.
+    total = resolved.agg(F.sum("times")).first()[0] or 0
+    hot = resolved.where((F.col("times") >= hot_least) & (F.col("times") * HOT_SHARE >= total)).select("c1", "c2").distinct().withColumn("parts", F.lit(HOT_PARTS))
+    hot = F.broadcast(hot)  # at most HOT_SHARE rows
+    parts = F.coalesce("parts", F.lit(1))
+    places = places.join(hot, ["c1", "c2"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "offset"), parts).cast("int")).drop("parts")
+    ready = ready.join(hot, ["c1", "c2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    spans = places.join(ready, ["c1", "c2", "part"]).select("doc_id", (F.col("offset") + F.col("begin")).alias("s"), (F.col("offset") + F.col("stop") + (length - 1)).alias("e"))
     return united(spans)
 
 

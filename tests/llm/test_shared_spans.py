@@ -37,11 +37,11 @@ def _docs(length, seed):
     return docs + [(200, "a" * 500), (201, "a" * 300), (202, "b" * 100), (203, None), (None, "a" * 400), (204, ""), (205, docs[3][1]), (3, docs[5][1]), (206, "ab" * 300)]
 
 
-@pytest.mark.parametrize("length, gram, most, bits", [(20, 8, 8192, None), (20, 8, 2, None), (12, 12, 1, 16), (5, 9, 8192, None)])
-def test_against_all_windows(spark, length, gram, most, bits):
-    docs = _docs(length, most)
+@pytest.mark.parametrize("length, gram, most, bits, hot", [(20, 8, 8192, None, 10_000), (20, 8, 2, None, 1), (12, 12, 1, 16, 10_000), (5, 9, 8192, None, 1)])
+def test_against_all_windows(spark, length, gram, most, bits, hot):
+    docs = _docs(length, most) + [(1000 + i, "hot " * length) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("anchor", F.lit(1)).repartition(5)
-    assert {tuple(r) for r in S.shared_spans(df, length, gram, bits, most).collect()} == brute(docs, length)
+    assert {tuple(r) for r in S.shared_spans(df, length, gram, bits, most, hot).collect()} == brute(docs, length)
 
 
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
