@@ -22,6 +22,15 @@ class TableStore:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _replace(self, new, old) -> None:
+        """Renames over what is there in one step."""
+        jvm = self.spark._jvm
+        how = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(how, 1)
+        options[0] = how.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._fs().makeQualified(new), self._fs().makeQualified(old), options)
+
     def version(self, name: str) -> int:
         """The current version, 0 if the table was never written."""
         fs, path = self._fs(), self._path(name, "CURRENT")
@@ -48,10 +57,7 @@ class TableStore:
         stream = fs.create(new, True)
         stream.writeUTF(str(following))
         stream.close()
-        current = self._path(name, "CURRENT")
-        fs.delete(current, False)
-        if not fs.rename(new, current):
-            raise RuntimeError(f"{name}: version {following} is written but not current")
+        self._replace(new, self._path(name, "CURRENT"))
         return following
 
     def vacuum(self, name: str, keep: int = 2) -> None:

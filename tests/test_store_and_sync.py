@@ -192,3 +192,11 @@ def test_enrichment(spark):
     assert {r.full_name: r.tags for r in enrich.union_tags(old, new).collect()} == {"a": ["x", "y", "X", "z"], "b": [], "c": ["q"]}
     body = spark.createDataFrame([('{"choices":[{"message":{"content":"hi"}}]}',)], "b string")
     assert body.select(enrich.pointer(F.col("b"), "/choices/0/message/content")).first()[0] == "hi"
+
+
+def test_synthetic_rows_do_not_depend_on_partitions(spark):
+    from quern.sources.synthetic import synthetic_catalog
+
+    one, two = (synthetic_catalog(spark, 500, partitions=p).drop("languages") for p in (1, 7))
+    assert one.exceptAll(two).isEmpty() and one.count() == 500 and one.select("full_name").distinct().count() == 500
+    assert 5 <= one.where("archived").count() <= 60 and synthetic_catalog(spark, 0).count() == 0
