@@ -217,6 +217,24 @@ def redacted_text(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", display.redact(F.coalesce("text", F.lit("")), "the").alias("shown"))
 
 
+on_view(
+    "languages_by_size", lambda v: v.select("id", F.array_join(F.transform(display.languages_by_size(F.col("languages")), lambda e: e["key"]), "|").alias("languages")),
+    """SELECT c.id, coalesce(s, '') AS languages FROM cat c LEFT JOIN (SELECT id, string_agg(k, '|' ORDER BY v DESC, k) AS s FROM (SELECT id, unnest(map_keys(languages)) AS k, unnest(map_values(languages)) AS v FROM cat) GROUP BY id) x ON x.id = c.id""",
+)
+on_view("tags_text", lambda v: model.tag_links(v).groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("text")), "SELECT repo_id, string_agg(name, ' ' ORDER BY name) AS text FROM links GROUP BY ALL")
+
+
+@query("SELECT snapshot_no, slice_no, page, pos, json_extract_string(payload, '$.repo.owner.login') AS login, json_extract_string(payload, '$.repo.topics[0]') AS topic FROM star_items WHERE json_valid(payload)")
+def json_pointer(spark, sf_dir):
+    items = read_table(spark, sf_dir, "star_items").where(wire.parse_items(F.col("payload"))["repo"].isNotNull())
+    return items.select("snapshot_no", "slice_no", "page", "pos", enrich.pointer(F.col("payload"), "/repo/owner/login").alias("login"), enrich.pointer(F.col("payload"), "/repo/topics/0").alias("topic"))
+
+
+@query("SELECT id, to_json(groups)::VARCHAR AS groups, len(topics)::INTEGER AS topics FROM cat")
+def list_columns(spark, sf_dir):
+    return view(spark, sf_dir).select("id", F.to_json("groups").alias("groups"), F.size("topics").alias("topics"))
+
+
 # Wire formats.
 
 _WIRE = """, wire AS (SELECT snapshot_no, slice_no, page, pos, payload::JSON AS p, TRY_CAST(json_extract_string(payload, '$.repo.id') AS BIGINT) AS id FROM star_items WHERE json_valid(payload)),
@@ -290,6 +308,15 @@ def promote_tags(spark, sf_dir):
     return store.promote_tags(links, links.where((F.col("source") == "ai") & (F.col("confidence") >= 0.9)).select("repo_id", "name")).select("repo_id", "name", "source")
 
 
+@query(f"""SELECT repo_id, name, source FROM links
+UNION ALL SELECT DISTINCT id, t, 'user' FROM (SELECT id, {trimmed_sql('x')} AS t FROM (SELECT id, unnest(topics) AS x FROM cat)) n
+WHERE t <> '' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.repo_id = n.id AND l.name = n.t AND l.source = 'user')""")
+def add_user_tags(spark, sf_dir):
+    v = view(spark, sf_dir)
+    added = v.select(F.col("id").alias("repo_id"), F.explode("topics").alias("name"))
+    return store.add_user_tags(model.tag_links(v), added).select("repo_id", "name", "source")
+
+
 @query("SELECT repo_id, name, source FROM links WHERE NOT (source = 'ai' AND confidence < 0.5)")
 def remove_tags(spark, sf_dir):
     links = _links(spark, sf_dir)

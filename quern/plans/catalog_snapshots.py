@@ -12,6 +12,8 @@ from quern.session import read_table
 # and the corrupt column is set exactly when the JSON is broken.
 _FIELDS = ("id", "full_name", "description", "language", "archived", "fork", "topics")
 _WIRE = "array<struct<r: struct<starred_at: string, repo: struct<" + ", ".join(f"{f}: string" for f in _FIELDS) + ">>>>"
+# Spark's reader takes more than JSON unless told otherwise.
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _RFC3339 = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 
 
@@ -29,7 +31,7 @@ def listed_rows(items: DataFrame) -> DataFrame:
     parsed inside a list of one object, so that anything after its end shows as broken.
     """
     wrapped = F.concat(F.lit('[{"r":'), F.col("payload"), F.lit("}]"))
-    parsed = items.select("snapshot_no", "slice_no", "page", "pos", "received_at", F.from_json(wrapped, _WIRE, {"mode": "PERMISSIVE"}).alias("_p"))
+    parsed = items.select("snapshot_no", "slice_no", "page", "pos", "received_at", F.from_json(wrapped, _WIRE, _STRICT).alias("_p"))
     one = parsed.where(F.size("_p") == 1).select("snapshot_no", "slice_no", "page", "pos", "received_at", F.col("_p")[0]["r"].alias("_r"))
     repo = F.col("_r.repo")
     topics = F.array_sort(F.array_distinct(F.filter(F.from_json(repo["topics"], "array<string>"), lambda t: t.isNotNull())))

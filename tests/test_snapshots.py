@@ -48,7 +48,7 @@ def test_payloads(spark):
         item('{"repo":{"topics":["y","x"],"full_name":"a/b","id":1,"fork":false,"archived":null},"starred_at":"2024-01-01T01:00:00+01:00"}', 2),
         item('{"repo":{"id":2}}'), item('{"repo":{"id":2,"full_name":"late"}}', page=2), item('{"repo":{"id":2,"full_name":"late"}}', 2),
         item('{"repo":{"id":3}}'), item('{"repo":{"id":3}} trailing', 2), item('{"repo":{"id":4}}'), item('{"repo":{"id":4', 2),
-        item('{"repo":{"id":5},"starred_at":"yesterday"}'), item('{"repo":{"id":5}}', 2), item(None), item("", 2), item('{"repo":null}', 2), item('{"repo":{"id":"x"}}', 2),
+        item('{"repo":{"id":5},"starred_at":"yesterday"}'), item('{"repo":{"id":5}}', 2), item(None), item("", 2), item('{"repo":null}', 2), item("{'repo':{'id':6}}"), item('{"repo":{"id":7,"x":NaN}}'), item('{"repo":{"id":"x"}}', 2),
     ]
     df = spark.createDataFrame(rows, "snapshot_no int, slice_no int, page int, pos int, received_at timestamp, payload string")
     assert {tuple(r)[:3] for r in S.changes(df).collect()} == {(2, 3, "removed"), (2, 4, "removed")}
