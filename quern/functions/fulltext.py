@@ -94,14 +94,69 @@ def bm25(index: DataFrame, terms: list[str]) -> DataFrame:
         return index.select("id", F.lit(0.0).alias("rel")).limit(0)
     mean, rel = stats.total / stats.n, F.lit(0.0)
     for i in range(len(wanted)):
-        n = stats[f"n{i}"]
-        idf = math.log((stats.n - n + 0.5) / (n + 0.5))
-        idf = idf if idf > 0 else LEAST_IDF
         f = sum((F.col(f"h{i}")[k] * w for k, w in enumerate(WEIGHTS.values())), F.lit(0.0))
-        rel = rel + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+        rel = rel + F.lit(_idf(stats.n, stats[f"n{i}"])) * _saturated(f, F.col("length"), mean)
     return counted.where(reduce(lambda a, b: a & b, any_hit)).select("id", rel.alias("rel"))
 
 
+def postings(index: DataFrame) -> DataFrame:
+    """token, id, column, places: where each token stands, for many queries over one index.
+
+    Written sorted by token (TableStore.write(..., sort_by=["token"])), a query reads only
+    the row groups that can hold its words.
+    """
+    lists = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("tokens")) for c in WEIGHTS])
+    each = index.select("id", F.explode(lists).alias("l")).select("id", "l.column", F.posexplode("l.tokens").alias("place", "token"))
+    return each.groupBy("token", "id", "column").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """id and the number of tokens of each row, the other half of a written index."""
+    return index.select("id", sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("length"))
+
+
+def _weight() -> Column:
+    return F.coalesce(*[F.when(F.col("column") == c, w) for c, w in WEIGHTS.items()])
+
+
+def _phrase_hits(entries: DataFrame, phrase: list[str]) -> DataFrame:
+    """id, f: the weighted hits of a phrase, from postings."""
+    *exact, prefix = phrase
+    last = entries.where(F.col("token").startswith(prefix))
+    if not exact:
+        return last.groupBy("id").agg(F.sum(_weight() * F.size("places")).alias("f"))
+    at = lambda df, k: df.select("id", "column", F.explode("places").alias("p")).select("id", "column", (F.col("p") - k).alias("p"))
+    found = at(last, len(exact))
+    for k, word in enumerate(exact):
+        found = found.join(at(entries.where(F.col("token") == word), k), ["id", "column", "p"])
+    return found.groupBy("id").agg(F.sum(_weight()).alias("f"))
+
+
+def postings_bm25(entries: DataFrame, sizes: DataFrame, terms: list[str]) -> DataFrame:
+    """id, rel: the same as bm25, from written postings and lengths: only the postings of
+    the query's words are read and shuffled. One row of statistics and one count per
+    phrase come to the driver."""
+    wanted = phrases(terms)
+    stats = sizes.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+    if not wanted or not stats.n or not stats.total:
+        return sizes.select("id", F.lit(0.0).alias("rel")).limit(0)
+    out, rel = sizes, F.lit(0.0)
+    for i, phrase in enumerate(wanted):
+        hit = _phrase_hits(entries, phrase)
+        rel = rel + F.lit(_idf(stats.n, hit.count())) * _saturated(F.col(f"f{i}"), F.col("length"), stats.total / stats.n)
+        out = out.join(hit.withColumnRenamed("f", f"f{i}"), "id")
+    return out.select("id", rel.alias("rel"))
+
+
+def _idf(n: int, holding: int) -> float:
+    idf = math.log((n - holding + 0.5) / (holding + 0.5))
+    return idf if idf > 0 else LEAST_IDF
+
+
+def _saturated(f: Column, length: Column, mean: float) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean)))
+
+
 def top(scores: DataFrame, n: int = LIMIT) -> DataFrame:
     """The n best hits."""
     return scores.orderBy(F.desc("rel"), "id").limit(n)

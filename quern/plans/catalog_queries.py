@@ -173,6 +173,10 @@ _fts("fts_all_terms", ["Read", "pre"])
 _fts("fts_phrase", ["static-sit"])
 _fts("fts_folded", ["éclat", "für"])
 on_view("fts_top", lambda v: fulltext.top(fulltext.bm25(fulltext.index_texts(v), ["in"])).select("id", F.round("rel", 6).alias("rel")), f", {fulltext.bm25_sql('cat', ['in'])} SELECT id, round(rel, 6) AS rel FROM hits ORDER BY hits.rel DESC, id LIMIT 2000")
+on_view(
+    "fts_from_postings", lambda v: fulltext.postings_bm25(fulltext.postings(fulltext.index_texts(v)), fulltext.lengths(fulltext.index_texts(v)), ["static-sit", "lib"]).select("id", F.round("rel", 6).alias("rel")),
+    f", {fulltext.bm25_sql('cat', ['static-sit', 'lib'])} SELECT id, round(rel, 6) AS rel FROM hits",
+)
 on_view("subsequence_match", lambda v: v.where(fuzzy.matches(F.col("full_name"), "nfl wq")).select("id"), "SELECT id FROM cat WHERE regexp_matches(lower(full_name), 'n.*f.*l') AND regexp_matches(lower(full_name), 'w.*q')")
 on_view("search_browse", lambda v: search.search(v, "lang:ferrule stars:>20").select("id", "score"), f"SELECT id, 0.0::DOUBLE AS score FROM cat WHERE {_LANG('ferrule')} AND stargazers > 20")
 QUERIES["search_hybrid"] = lambda spark, sf_dir: search.search(view(spark, sf_dir), "-is:archived reader").select("id", "full_name", "fuzzy", "fts", "score")
