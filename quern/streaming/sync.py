@@ -2,7 +2,8 @@
 
 State is a key-value table: the watermark is the newest starring time seen, a cursor,
 not an event-time watermark. Rows older than it are skipped for good; only a
-difference in counts leads to a full reconciliation.
+difference in counts leads to a full reconciliation. It is moved when a run has taken
+all of its input, never between the batches of one run.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quern.functions.display import format_time, parse_time
 from quern.operators.store import apply_refresh, delete_repos, mirror_topics, newer_than, prune_tags, set_column, state_get, state_put, unseen, upsert
@@ -20,6 +22,8 @@ from quern.sources.tables import TableStore
 from quern.sources.wire import to_repos
 
 WATERMARK, INITIAL_DONE = "sync.watermark", "sync.initial_done"
+#: The newest starring time in the batches of a stream's run that has not ended yet.
+NEWEST = "sync.stream_newest"
 #: Budgets of one run.
 REFRESHES, BACKFILLS, BATCH = 250, 500, 25
 INTERVAL = "15 minutes"
@@ -38,7 +42,8 @@ class Summary:
 
 
 class Catalog:
-    """The catalog's tables in a TableStore: repos, tag_links, tags, group_members, state."""
+    """The catalog's tables in a TableStore: repos, tag_links, tags, group_members, state;
+    after a stream also places, the ordinals of what repos holds."""
 
     TABLES = {
         "repos": "id bigint, node_id string, full_name string, name string, owner string, html_url string, description string, stargazers bigint, last_commit_at timestamp, starred_at timestamp, updated_at timestamp, primary_language string, languages map<string,bigint>, contributors array<struct<login:string,avatar_url:string,contributions:bigint>>, archived boolean, fork boolean, topics array<string>, synced_at timestamp, etag string, readme_md string, readme_fetched_at timestamp",
@@ -69,6 +74,37 @@ class Catalog:
         self.tables.write("tag_links", mirror_topics(self.read("tag_links"), rows), ["repo_id"])
         return rows.select("id").distinct().count()
 
+    def absorb_placed(self, rows: DataFrame, now: Column) -> None:
+        """Absorbs rows (with a column ordinal) that may be older than what is there: of each
+        repository the row with the greatest ordinal so far counts, and of the rows with
+        a starring time the last one gives it. So the tables don't depend on how rows
+        are cut into batches. Of equal ordinals the one that comes later counts.
+        """
+        place = F.struct("ordinal")  # compares null as least
+        timed = F.when(F.col("starred_at").isNotNull(), place)
+        others = [c for c in rows.columns if c not in ("id", "starred_at")]
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*others), place).alias("_last"), F.max(place).alias("place"), F.max_by("starred_at", timed).alias("starred_at"), F.max(timed).alias("timed_place"))
+        columns = ["id", "place", "timed_place"]
+        if self.tables.exists("places"):
+            stored = self.read("places").join(self.read("repos").select("id"), "id", "left_semi")
+        else:
+            stored = self.spark.createDataFrame([], StructType([last.schema[c] for c in columns]))
+        held = stored.select("id", F.col("place").alias("_place"), F.col("timed_place").alias("_timed"))
+        wins = F.col("_place").isNull() | (F.col("place") >= F.col("_place"))
+        times = F.col("timed_place").isNotNull() & (F.col("_timed").isNull() | (F.col("timed_place") >= F.col("_timed")))
+        told = last.join(held, "id", "left").withColumns({"_wins": wins, "_times": times}).persist()
+        try:
+            new = told.where("_wins").select("id", *[f"_last.{c}" for c in others], F.when(F.col("_times"), F.col("starred_at")).alias("starred_at"))
+            repos = upsert(self.read("repos"), new, "ordinal", now)
+            late = told.where("_times and not _wins").select("id", F.col("starred_at").alias("value"))
+            self.tables.write("repos", set_column(repos, late, "starred_at"), ["id"])
+            self.tables.write("tag_links", mirror_topics(self.read("tag_links"), new), ["repo_id"])
+            # Last, so that a batch replayed after a failure finds its rows no older than what is stored.
+            places = stored.unionByName(told.select(*columns)).groupBy("id").agg(F.max("place").alias("place"), F.max("timed_place").alias("timed_place"))
+            self.tables.write("places", places, ["id"])
+        finally:
+            told.unpersist()
+
     def remove(self, ids: DataFrame) -> int:
         """Deletes repositories with their links; how many there were."""
         gone = ids.join(self.read("repos").select("id"), "id", "left_semi")
@@ -82,11 +118,11 @@ class Catalog:
 
 
 
-def _advance(catalog: Catalog, rows: DataFrame) -> None:
+def _advance(catalog: Catalog, rows: DataFrame, key: str = WATERMARK) -> None:
     mark = rows.agg(format_time(F.max("starred_at"))).first()[0]
-    old = catalog.get(WATERMARK)
+    old = catalog.get(key)
     if mark and (old is None or mark > old):
-        catalog.put(sync__watermark=mark)
+        catalog.put(**{key.replace(".", "__"): mark})
 
 
 def full_sync(catalog: Catalog, items: DataFrame, now: Column) -> Summary:
@@ -155,25 +191,63 @@ def backfill_languages(catalog: Catalog, fetched: DataFrame, budget: int = BACKF
     return n
 
 
+class _Run(StreamingQuery):
+    """A stream's run over the input that is available. Awaiting its end moves the
+    watermark and ends the initial load, unless it failed or was stopped before."""
+
+    def __init__(self, query: StreamingQuery, catalog: Catalog, begun: list[int]):
+        super().__init__(query._jsq)
+        self._catalog, self._begun, self._open = catalog, begun, True
+
+    def stop(self) -> None:
+        self._open = self._open and not self.isActive
+        super().stop()
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        ended = super().awaitTermination(timeout)
+        if ended is False or not self._open:
+            return ended
+        self._open = False
+        last = self.lastProgress
+        if not self._begun or last is not None and last["batchId"] >= self._begun[-1]:
+            newest, mark = self._catalog.get(NEWEST), self._catalog.get(WATERMARK)
+            marks = [m for m in (newest, mark) if m is not None]
+            self._catalog.put(sync__initial_done="1", sync__stream_newest=None, sync__watermark=max(marks, default=None))
+        return ended
+
+
 def stream(catalog: Catalog, source: DataFrame, checkpoint: str, now=F.current_timestamp, once: bool = True) -> StreamingQuery:
     """Runs a stream of items (starred_at, repo, ordinal) into the catalog.
 
-    Each micro-batch keeps what is newer than the watermark (an unknown time counts as
-    new) and is upserted; a batch that is replayed writes the same rows again.
+    The initial load takes every row. Once it is done, rows are skipped that are not
+    newer than the watermark the run began with (an unknown time counts as new). Rows are
+    put in by their ordinals (see absorb_placed), which must go on from run to run, so
+    the result doesn't depend on the batches, and a batch that is replayed writes the
+    same rows again.
+
+    The watermark moves, and the initial load is done, when a run over the available
+    input (once) has ended and awaitTermination of the query returned here has seen it.
+    After a failure or a stop, or in a run without end, they stay, so that more rows are
+    taken, never fewer. A stream removes nothing: what a listing no longer shows is found
+    by full_sync.
     """
+    mark = catalog.get(WATERMARK) if catalog.get(INITIAL_DONE) == "1" else None
+    begun: list[int] = []
 
-    def absorb(batch: DataFrame, _: int) -> None:
+    def absorb(batch: DataFrame, number: int) -> None:
+        begun.append(number)
         rows = to_repos(batch).withColumn("synced_at", now())
-        mark = catalog.get(WATERMARK)
         if mark is not None:
             rows = rows.where(F.col("starred_at").isNull() | (F.col("starred_at") > parse_time(F.lit(mark))))
         rows = rows.persist()
         try:
             if not rows.isEmpty():
-                catalog.absorb(rows, "ordinal", now())
-                _advance(catalog, rows)
+                catalog.absorb_placed(rows, now())
+                _advance(catalog, rows, NEWEST)
         finally:
             rows.unpersist()
 
     writer = source.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
+    if once:
+        return _Run(writer.trigger(availableNow=True).start(), catalog, begun)
+    return writer.trigger(processingTime=INTERVAL).start()

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,60 @@ def test_stream(spark, tmp_path):
     assert catalog.get(sync.WATERMARK) == "2026-02-03T00:00:00Z"
 
 
+def _streamed(spark, tmp_path, name, files, per_batch, catalog=None):
+    inbox = tmp_path / f"{name}-in"
+    inbox.mkdir(exist_ok=True)
+    for i, items in enumerate(files, len(list(inbox.iterdir()))):
+        (inbox / f"{i:03d}.json").write_text("\n".join(map(json.dumps, items)))
+        os.utime(inbox / f"{i:03d}.json", (1_700_000_000 + i,) * 2)  # the order in which they are taken
+    catalog = catalog or sync.Catalog(spark, str(tmp_path / name))
+    source = spark.readStream.schema(f"{wire.ITEM}, ordinal int").option("maxFilesPerTrigger", per_batch).json(str(inbox))
+    sync.stream(catalog, source, str(tmp_path / f"{name}-checkpoint"), now=now).awaitTermination()
+    return catalog
+
+
+def _held(catalog):
+    columns = ["id", "full_name", "stargazers", "starred_at", "topics"]
+    return sorted(map(str, catalog.read("repos").select(*columns).collect())), sorted(map(str, catalog.read("tag_links").collect())), catalog.get(sync.WATERMARK), catalog.get(sync.INITIAL_DONE)
+
+
+def test_stream_does_not_depend_on_batches(spark, tmp_path):
+    at = lambda ordinal, *s, **more: star(*s, **more) | {"ordinal": ordinal}
+    # The newest first; of 3 an old snapshot without a time comes last, of 4 an old time.
+    items = [at(1, 9, 20), at(2, 8, 9), at(9, 3, None, stargazers_count=33, topics=["new"]), at(8, 4, None), at(3, 7, 5), at(4, 3, 2, stargazers_count=1), at(5, 6, 1), at(2, 4, 1, topics=["old"]), at(None, 3, None, topics=["older"])]
+    whole = _streamed(spark, tmp_path, "whole", [items], 64)
+    cut = _streamed(spark, tmp_path, "cut", [[i] for i in items], 1)
+    assert _held(whole) == _held(cut) and whole.get(sync.WATERMARK) == "2026-02-20T00:00:00Z" and whole.get(sync.INITIAL_DONE) == "1"
+    kept = {r.id: (r.stargazers, r.topics, r.starred_at and r.starred_at.day) for r in cut.read("repos").collect()}
+    assert set(kept) == {3, 4, 6, 7, 8, 9} and kept[3] == (33, ["new"], 2) and kept[4] == (400, ["t"], 1)
+    # Afterwards the watermark is that of the run before, for all batches.
+    more = [at(10, 10, 28), at(11, 11, 21), at(12, 12, 19), at(1, 3, None)]
+    _streamed(spark, tmp_path, "whole", [more], 64, whole)
+    _streamed(spark, tmp_path, "cut", [[i] for i in more], 1, cut)
+    assert _held(whole) == _held(cut) and {r.id for r in cut.read("repos").collect()} == {3, 4, 6, 7, 8, 9, 10, 11} and cut.get(sync.WATERMARK) == "2026-02-28T00:00:00Z"
+
+
+def test_a_stopped_stream_is_not_done(spark, tmp_path):
+    catalog = sync.Catalog(spark, str(tmp_path / "c"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps(star(1, 1) | {"ordinal": 1}))
+    run = sync.stream(catalog, spark.readStream.schema(f"{wire.ITEM}, ordinal int").json(str(tmp_path / "in")), str(tmp_path / "checkpoint"), now=now)
+    run.stop()
+    run.awaitTermination()
+    assert catalog.get(sync.INITIAL_DONE) is None and catalog.get(sync.WATERMARK) is None
+
+
+def test_stream_sync_over_one_file_and_many(spark, tmp_path):
+    from quern.plans.streams import stream_sync
+
+    payloads = [(1, 1, i, json.dumps(star(i, 28 - i // 6))) for i in range(140)] + [(0, 1, i, json.dumps(star(i, None, stargazers_count=1))) for i in range(140)]
+    df = spark.createDataFrame(payloads, "snapshot_no int, page int, pos int, payload string")
+    df.coalesce(1).write.parquet(str(tmp_path / "one" / "star_items.parquet"))
+    df.repartitionByRange(140, F.desc("snapshot_no"), "pos").write.parquet(str(tmp_path / "many" / "star_items.parquet"))
+    one, many = (rows(stream_sync(spark, str(tmp_path / d))) for d in ("one", "many"))
+    assert one == many == {(i, f"o/r{i}", i * 100) for i in range(140)}
+
+
 def test_wire(spark, tmp_path):
     body = json.dumps({"data": {"r0": {"databaseId": 1, "languages": {"edges": [{"size": 5, "node": {"name": "A"}}, {"node": {"name": "B"}}, {"size": 9, "node": {"name": "A"}}]}}, "r1": None}})
     df = spark.createDataFrame([(body,), (json.dumps({"errors": [{"message": "no"}]}),), (None,)], "b string")
