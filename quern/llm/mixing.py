@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ SALTS = 64
 EXACT_BUDGET = 1 << 17
 #: Budget that the exact fit is given at least, where as much was taken before.
 ROOM = 1 << 15
+#: Budget of a second exact fit, in units of the lengths' common divisor, where the first leaves more than it must.
+WIDE_BUDGET = 1 << 22
 
 
 def exact_fit(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
@@ -57,10 +61,16 @@ def exact_fit(lengths: list[int], counts: list[int], budget: int) -> tuple[list[
 def fit_source(lengths: list[int], counts: list[int], budget: int, max_repeats: int, seed: int) -> tuple[int, list[int]]:
     """(passes, take): every document is drawn `passes` times, and `take` of each length once more.
 
-    The total is as near below the budget as whole documents allow, or, if even
-    max_repeats passes don't reach it, those passes. After whole passes each length
-    gives the remaining share of its documents, rounded down; then lengths in seeded
-    order close most of the gap, or open it to ROOM, and exact_fit closes the rest.
+    If even max_repeats passes don't reach the budget, it is those passes. Else, after
+    whole passes each length gives the remaining share of its documents, rounded down;
+    then lengths in seeded order close most of the gap, or open it to ROOM, and exact_fit
+    closes the rest. If that leaves more than the lengths' common divisor forces, a second
+    fit gives back up to WIDE_BUDGET divisors, and the better of the two counts.
+
+    So the total is as near below the budget as whole documents allow wherever it meets
+    the budget (less the remainder by the common divisor), and wherever what is left after
+    the passes is at most WIDE_BUDGET divisors; else it is the nearest that changing
+    about WIDE_BUDGET divisors of the draw gives.
     """
     size = sum(length * n for length, n in zip(lengths, counts))
     if size <= 0 or max_repeats <= 0 or budget <= 0:
@@ -69,6 +79,8 @@ def fit_source(lengths: list[int], counts: list[int], budget: int, max_repeats:
     if passes >= max_repeats:
         return max_repeats, [0] * len(lengths)
     rest = budget - passes * size
+    unit = math.gcd(*(length for length, n in zip(lengths, counts) if n))
+    least = rest % unit
     take = [n * rest // size for n in counts]
     rest -= sum(length * n for length, n in zip(lengths, take))
     order = np.random.default_rng(seed).permutation(len(lengths)).tolist()
@@ -79,21 +91,42 @@ def fit_source(lengths: list[int], counts: list[int], budget: int, max_repeats:
             n = min(counts[i] - take[i], (rest - EXACT_BUDGET) // lengths[i] + 1, rest // lengths[i])
             take[i] += n
             rest -= n * lengths[i]
-    while rest < ROOM:  # too little to choose from: give some documents back
+    wide, wide_rest = list(take), rest
+    while rest < ROOM:  # too little to choose from: give some documents back, none that leaves too much
         before = rest
         for i in order:
-            if rest < ROOM and take[i] and lengths[i] > 0:
+            if rest < ROOM and take[i] and 0 < lengths[i] <= EXACT_BUDGET - rest:
                 take[i] -= 1
                 rest += lengths[i]
         if rest == before:
             break
-    if rest <= EXACT_BUDGET:
-        more, _ = exact_fit([lengths[i] for i in order], [counts[i] - take[i] for i in order], rest)
-        for i, n in zip(order, more):
-            take[i] += n
+    take, rest = _fill(lengths, counts, take, order, rest, unit)
+    if rest > least:
+        for most in (1, max(counts)):  # one of each length first, for choice
+            for i in order:
+                if lengths[i] > 0:
+                    n = max(min(wide[i], most, (WIDE_BUDGET * unit - wide_rest) // lengths[i]), 0)
+                    wide[i] -= n
+                    wide_rest += n * lengths[i]
+        wide, wide_rest = _fill(lengths, counts, wide, order, wide_rest, unit)
+        if wide_rest < rest:
+            take = wide
     return passes, take
 
 
+def _fill(lengths: list[int], counts: list[int], take: list[int], order: list[int], rest: int, unit: int) -> tuple[list[int], int]:
+    """The take with the best fit into the rest added, and what is left then. A rest above
+    the budgets of the fits is one that no document left fits into."""
+    fits = [i for i in order if counts[i] > take[i] and 0 < lengths[i] <= rest]
+    if not fits:
+        return take, rest
+    more, total = exact_fit([lengths[i] // unit for i in fits], [counts[i] - take[i] for i in fits], rest // unit)
+    take = list(take)
+    for i, n in zip(fits, more):
+        take[i] += n
+    return take, rest - total * unit
+
+
 def _quotas(frame: pd.DataFrame, budgets: dict[str, tuple[int, int]], seed: int) -> pd.DataFrame:
     """The draws of one source, dealt to the salts of each length in order."""
     budget, most = budgets[frame["source"].iloc[0]]

@@ -81,6 +81,30 @@ def test_fit_source():
     assert sum(a * b for a, b in zip(fit_source(lengths, counts, 4_000_001, 1, 2)[1], lengths)) == 4_000_001 > EXACT_BUDGET
 
 
+def test_fit_source_with_long_documents():
+    assert fit_source([120_000, 10], [3, 2000], 270_000, 1, 0) == (0, [2, 2000])
+    rng = random.Random(3)
+    for seed in range(120):  # few long documents: against all choices
+        lengths = sorted(rng.sample(range(100_001, 400_000), rng.randint(1, 4))) + [rng.randint(1, 99), 7001]
+        counts = [rng.randint(1, 3) for _ in lengths[:-2]] + [rng.randint(0, 300), rng.randint(0, 3)]
+        size = sum(length * n for length, n in zip(lengths, counts))
+        budget = rng.randint(1, size - 1)
+        sums = {0}
+        for length, n in zip(lengths, counts):
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        passes, take = fit_source(lengths, counts, budget, 1, seed)
+        assert passes == 0 and all(0 <= t <= n for t, n in zip(take, counts))
+        assert sum(t * x for t, x in zip(take, lengths)) == max(s for s in sums if s <= budget)
+
+
+def test_fit_source_beyond_the_wide_budget():
+    for lengths, counts in (([120_011, 150_001, 10], [300, 200, 2000]), ([6_000_000, 9_000_001], [3, 2])):
+        budget = sum(length * n for length, n in zip(lengths, counts)) * 2 // 3
+        passes, take = fit_source(lengths, counts, budget, 1, 0)
+        drawn = sum(t * x for t, x in zip(take, lengths))
+        assert passes == 0 and all(0 <= t <= n for t, n in zip(take, counts)) and 0 <= budget - drawn < max(lengths)
+
+
 def test_mix_meets_its_budgets(spark):
     rng = random.Random(4)
     docs = [(i, rng.choice("aaaab"), rng.randint(0, 40)) for i in range(3000)] + [(5000, "c", 7), (5001, None, 9), (5002, "zz", 9), (None, "a", 3), (7, "a", None), (7, "a", 7)]
