@@ -25,6 +25,8 @@ from quern.functions.fulltext import fold_text, folded
 MATCH, GAP_START, GAP_MORE = 16, -3, -1
 AT_WORD, AT_DELIMITER, AT_SPACE, AT_CAMEL, IN_RUN, FIRST = 8, 9, 10, 5, 4, 2
 DELIMITERS = "/,:;|"
+#: Stands for no match; gaps and bonuses move it, but never by half of it.
+NONE = -(10**8)
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,7 @@ def fold_keep(c: str) -> str:
 
 def _align(points: np.ndarray, bonus: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The best score of the word as a subsequence of each name; hugely negative if it is none."""
-    none = np.int32(-(10**8))
+    none = np.int32(NONE)
     here = np.where(points == word[0], MATCH + FIRST * bonus, none)
     for c in word[1:]:
         run = np.full_like(here, none)
@@ -141,7 +143,7 @@ def score_names(names: list[str], pattern: list[Word]) -> np.ndarray:
         if word.kind == "fuzzy":
             points, _ = _bonuses(seen, width)
             best = _align(points, bonus, np.array([ord(c) for c in text], np.uint32))
-            total += np.where(best > 0, best, np.nan)
+            total += np.where(best > NONE // 2, np.maximum(best, 0), np.nan)  # gaps may cost a match all its score
             continue
         found = {
             "substring": lambda n: n.find(text), "prefix": lambda n: 0 if n.startswith(text) else -1,

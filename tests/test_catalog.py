@@ -108,6 +108,14 @@ def test_fuzzy_words(spark):
     assert hit("^foo") == {"Foo/Bar", "foo/café"} and hit("bar$") == {"Foo/Bar"} and hit("'o/b") == {"Foo/Bar"} and hit("!foo") == {"x"} and hit("^x$") == {"x"} and hit("foo bar") == {"Foo/Bar"}
 
 
+def test_far_letters_still_match(spark):
+    long = "x" + "m" * 20 + "a" + "m" * 80 + "b" + "m" * 20
+    df = spark.createDataFrame([row(1, long), row(2, "ab/c"), row(3, "ba/c")], SCHEMA)
+    told = {r.id: (r.m, r.s) for r in df.select("id", fuzzy.matches(F.col("full_name"), "ab").alias("m"), fuzzy.fuzzy_score(F.col("full_name"), "ab").alias("s")).collect()}
+    assert told[1] == (True, 0.0) and told[2][1] > 0 and told[3] == (False, None)
+    assert set(ids(search.search(df, "ab", fts=False))) == {1, 2} and set(ids(search.search(df, "ab"))) == {1, 2}
+
+
 def test_bm25_against_sqlite(spark):
     rng = random.Random(2)
     words = ["modal", "editor", "Café", "daily-driver", "c++", "snake_case", "漢字", "search", "searching", "x2", "the"]
