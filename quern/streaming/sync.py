@@ -26,6 +26,7 @@ WATERMARK, INITIAL_DONE = "sync.watermark", "sync.initial_done"
 NEWEST = "sync.stream_newest"
 #: Budgets of one run.
 REFRESHES, BACKFILLS, BATCH = 250, 500, 25
+STALE_AFTER = "24 hours"
 INTERVAL = "15 minutes"
 
 
@@ -48,6 +49,7 @@ class Catalog:
     TABLES = {
         "repos": "id bigint, node_id string, full_name string, name string, owner string, html_url string, description string, stargazers bigint, last_commit_at timestamp, starred_at timestamp, updated_at timestamp, primary_language string, languages map<string,bigint>, contributors array<struct<login:string,avatar_url:string,contributions:bigint>>, archived boolean, fork boolean, topics array<string>, synced_at timestamp, etag string, readme_md string, readme_fetched_at timestamp",
         "tag_links": "repo_id bigint, name string, source string, confidence double",
+        "tags": "name string, source string",
         "group_members": "repo_id bigint, group_name string",
         "state": "key string, value string",
     }
@@ -71,9 +73,14 @@ class Catalog:
     def absorb(self, rows: DataFrame, ordinal: str, now: Column) -> int:
         """Upserts rows and mirrors their topics as tags; the number of repositories written."""
         self.tables.write("repos", upsert(self.read("repos"), rows, ordinal, now), ["id"])
-        self.tables.write("tag_links", mirror_topics(self.read("tag_links"), rows), ["repo_id"])
+        self.link(mirror_topics(self.read("tag_links"), rows))
         return rows.select("id").distinct().count()
 
+    def link(self, links: DataFrame) -> None:
+        """Writes the tag links; tags that they name and that aren't there are added."""
+        self.tables.write("tag_links", links, ["repo_id"])
+        self.tables.write("tags", self.read("tags").unionByName(self.read("tag_links").select("name", "source")).distinct())
+
     def absorb_placed(self, rows: DataFrame, now: Column) -> None:
         """Absorbs rows (with a column ordinal) that may be older than what is there: of each
         repository the row with the greatest ordinal so far counts, and of the rows with
@@ -98,7 +105,7 @@ class Catalog:
             repos = upsert(self.read("repos"), new, "ordinal", now)
             late = told.where("_times and not _wins").select("id", F.col("starred_at").alias("value"))
             self.tables.write("repos", set_column(repos, late, "starred_at"), ["id"])
-            self.tables.write("tag_links", mirror_topics(self.read("tag_links"), new), ["repo_id"])
+            self.link(mirror_topics(self.read("tag_links"), new))
             # Last, so that a batch replayed after a failure finds its rows no older than what is stored.
             places = stored.unionByName(told.select(*columns)).groupBy("id").agg(F.max("place").alias("place"), F.max("timed_place").alias("timed_place"))
             self.tables.write("places", places, ["id"])
@@ -106,7 +113,8 @@ class Catalog:
             told.unpersist()
 
     def remove(self, ids: DataFrame) -> int:
-        """Deletes repositories with their links; how many there were."""
+        """Deletes repositories with their links, and then tags that none holds; how many
+        repositories there were."""
         gone = ids.join(self.read("repos").select("id"), "id", "left_semi")
         n = gone.count()
         if n:
@@ -114,6 +122,7 @@ class Catalog:
             # All three are computed from the versions read above, none from another's result.
             for name, part in zip(("repos", "tag_links", "group_members"), parts):
                 self.tables.write(name, part)
+            self.tables.write("tags", prune_tags(self.read("tags"), self.read("tag_links")))
         return n
 
 
@@ -125,10 +134,12 @@ def _advance(catalog: Catalog, rows: DataFrame, key: str = WATERMARK) -> None:
         catalog.put(**{key.replace(".", "__"): mark})
 
 
-def full_sync(catalog: Catalog, items: DataFrame, now: Column) -> Summary:
-    """Takes the whole listing: everything is upserted, what it no longer shows is removed.
+def full_sync(catalog: Catalog, items: DataFrame, now: Column, languages: DataFrame | None = None) -> Summary:
+    """Takes the whole listing: everything is upserted, what it no longer shows is removed,
+    with the tags that nothing holds any more; then languages are filled in.
 
-    items: starred_at, repo (see wire.ITEM) and an ordinal column, later rows last.
+    items: starred_at, repo (see wire.ITEM) and an ordinal column, later rows last;
+    languages: what was fetched (see backfill_languages), None for nothing.
     """
     known = catalog.read("repos").select("id")
     rows = to_repos(items).withColumn("synced_at", now)
@@ -138,28 +149,37 @@ def full_sync(catalog: Catalog, items: DataFrame, now: Column) -> Summary:
     summary.removed = catalog.remove(gone)
     _advance(catalog, rows)
     catalog.put(sync__initial_done="1")
+    if languages is not None:
+        summary.languages_filled = backfill_languages(catalog, languages)
     return summary
 
 
-def incremental_sync(catalog: Catalog, items: DataFrame, now: Column, remote_count: int | None = None, whole: DataFrame | None = None) -> Summary:
+def incremental_sync(catalog: Catalog, items: DataFrame, now: Column, remote_count: int | None = None, whole: DataFrame | None = None, fetched: DataFrame | None = None, languages: DataFrame | None = None) -> Summary:
     """Takes the leading items that are newer than the watermark. Without a watermark, or
     when afterwards the number of repositories differs from remote_count, `whole` (default
     items) is reconciled in full; an unknown count is no difference.
 
-    items are a listing, newest first, in the order of the ordinal column.
+    items are a listing, newest first, in the order of the ordinal column. fetched
+    (see refresh) is applied to rows last synced STALE_AFTER before now, then languages
+    (see backfill_languages) are filled in; None for nothing.
     """
     mark = catalog.get(WATERMARK)
     if mark is None:
-        return full_sync(catalog, whole if whole is not None else items, now)
+        return full_sync(catalog, whole if whole is not None else items, now, languages)
     rows = to_repos(items).withColumn("synced_at", now)
     fresh = newer_than(rows, parse_time(F.lit(mark)), ["ordinal"])
     summary = Summary("incremental", seen=fresh.count())
     if summary.seen:
         summary.written = catalog.absorb(fresh, "ordinal", now)
         _advance(catalog, fresh)
+    if fetched is not None:
+        _, summary.metadata_refreshed = _refresh(catalog, fetched, now - F.expr(f"INTERVAL {STALE_AFTER}"), now, REFRESHES)
+    if languages is not None:
+        summary.languages_filled = backfill_languages(catalog, languages)
     if remote_count is not None and remote_count != catalog.read("repos").count():
-        reconciled = full_sync(catalog, whole if whole is not None else items, now)
+        reconciled = full_sync(catalog, whole if whole is not None else items, now, languages)
         summary.removed, summary.written = reconciled.removed, reconciled.written
+        summary.languages_filled += reconciled.languages_filled
         summary.mode = "full"
     return summary
 
@@ -167,17 +187,22 @@ def incremental_sync(catalog: Catalog, items: DataFrame, now: Column, remote_cou
 def sync(catalog: Catalog, items: DataFrame, now: Column, **how) -> Summary:
     """Full until a full run has finished once, then incremental."""
     if catalog.get(INITIAL_DONE) != "1":
-        return full_sync(catalog, items, now)
+        return full_sync(catalog, items, now, how.get("languages"))
     return incremental_sync(catalog, items, now, **how)
 
 
 def refresh(catalog: Catalog, fetched: DataFrame, cutoff: Column, now: Column, budget: int = REFRESHES) -> int:
     """Applies a conditional fetch (id, status and columns) to the stalest rows; how many were touched."""
+    return _refresh(catalog, fetched, cutoff, now, budget)[0]
+
+
+def _refresh(catalog: Catalog, fetched: DataFrame, cutoff: Column, now: Column, budget: int) -> tuple[int, int]:
+    """How many rows were touched, and how many of them took new values (status 200)."""
     due = stale_rows(catalog.read("repos"), cutoff).limit(budget).select("id")
     mine = fetched.join(due, "id", "left_semi")
-    n = mine.where(F.col("status").isin(200, 304, 404)).count()
+    touched, renewed = mine.agg(F.count_if(F.col("status").isin(200, 304, 404)), F.count_if(F.col("status") == 200)).first()
     catalog.tables.write("repos", apply_refresh(catalog.read("repos"), mine, now), ["id"])
-    return n
+    return touched, renewed
 
 
 def backfill_languages(catalog: Catalog, fetched: DataFrame, budget: int = BACKFILLS) -> int:

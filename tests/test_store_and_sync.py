@@ -119,6 +119,22 @@ def test_sync_runs(spark, tmp_path):
     assert sync.backfill_languages(catalog, filled) == 1 and rows(catalog.read("repos").where(F.size("languages") > 0), "id") == {(2,)}
 
 
+def test_runs_refresh_backfill_and_prune(spark, tmp_path):
+    catalog = sync.Catalog(spark, str(tmp_path / "c"))
+    at = lambda day: F.lit(f"2026-03-{day:02d} 00:00:00").cast("timestamp")
+    languages = spark.createDataFrame([(1, {"Rust": 1}), (2, {}), (3, {"Go": 2}), (4, {"C": 3})], "id long, languages map<string,long>")
+    first = sync.sync(catalog, pages(spark, tmp_path, "a", [star(2, 2, topics=["t", "gone"]), star(1, 1)]), at(1), languages=languages.where("id < 3"))
+    assert first.mode == "full" and first.languages_filled == 1
+    assert rows(catalog.read("tags")) == {("t", "github"), ("gone", "github")}
+    fetched = spark.createDataFrame([(1, 200, 999), (2, 304, None), (3, 200, 1)], "id long, status int, stargazers long")
+    second = sync.sync(catalog, pages(spark, tmp_path, "b", [star(3, 3), star(2, 2)]), at(5), fetched=fetched, languages=languages)
+    assert (second.mode, second.metadata_refreshed, second.languages_filled) == ("incremental", 1, 1)
+    assert rows(catalog.read("repos"), "id", "stargazers", F.dayofmonth("synced_at")) == {(1, 999, 5), (2, 200, 5), (3, 300, 5)}
+    assert rows(catalog.read("repos").where(F.size("languages") > 0), "id") == {(1,), (3,)}
+    third = sync.sync(catalog, pages(spark, tmp_path, "d", [star(4, 4), star(3, 3), star(1, 1)]), at(6), remote_count=3, languages=languages)
+    assert (third.mode, third.removed, third.languages_filled) == ("full", 1, 1) and rows(catalog.read("tags")) == {("t", "github")}
+
+
 def test_stream(spark, tmp_path):
     catalog = sync.Catalog(spark, str(tmp_path / "c"))
     inbox = tmp_path / "inbox"
