@@ -146,7 +146,8 @@ def similar_sets(left: DataFrame, threshold: str = "0.8", min_size: int = 1, rig
     left, right: id BIGINT, tokens ARRAY<STRING>; other columns don't matter. With
     `right`, pairs are those between the two tables (a class with members in both is
     such a pair itself); side is 0 for left and 1 for right. Empty tables give empty
-    results; ids may repeat, each row is a member.
+    results; ids may repeat, each row is a member. Pairs of records are made by expand
+    and links, with `right` by expand_between and links_between.
     """
     sets = left.select(F.lit(0).alias("side"), F.col("id").cast("bigint").alias("id"), "tokens")
     if right is not None:
@@ -173,6 +174,32 @@ def links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return members.join(told, "class").select("id", F.col("class.id").alias("class_id"), "copies", "links")
 
 
+def _both_ways(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class, other: similar classes in both orders, and each class with itself."""
+    one, two = F.col("class_a"), F.col("class_b")
+    own = members.select("class", F.col("class").alias("other")).distinct()
+    return pairs.select(one.alias("class"), two.alias("other")).unionByName(pairs.select(two.alias("class"), one.alias("other"))).unionByName(own)
+
+
+def expand_between(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id_left, id_right: the pairs of a left and a right record, of similar_sets with
+    `right`; equal sets and equal ids included, pairs within one table not."""
+    left = members.where("side = 0").select("class", F.col("id").alias("id_left"))
+    right = members.where("side = 1").select(F.col("class").alias("other"), F.col("id").alias("id_right"))
+    return _both_ways(members, pairs).join(left, "class").join(right, "other").select("id_left", "id_right")
+
+
+def links_between(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """side, id, class_side, class_id, copies, links: for each record of either table its
+    class, the number of records of its own table in it, and the number of records of the
+    other table with a similar or equal set. No pair of records is made."""
+    sizes = members.groupBy("class", "side").agg(F.count("*").alias("copies"))
+    across = sizes.select(F.col("class").alias("other"), (1 - F.col("side")).alias("side"), F.col("copies").alias("n"))
+    linked = _both_ways(members, pairs).join(across, "other").groupBy("class", "side").agg(F.sum("n").alias("links"))
+    told = members.join(sizes, ["class", "side"]).join(linked, ["class", "side"], "left")
+    return told.select("side", "id", F.col("class.side").alias("class_side"), F.col("class.id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def repo_sets(rows: DataFrame) -> DataFrame:
     """id, tokens: the keys of topics, tag names and groups of each current repository."""
     return repo_names.current(rows, "topics", "tags", "groups").select("id", repo_names.keys_of("topics", "tags", "groups").alias("tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import repo_names
 from quern.llm.cooccurrence import at_least, cooccurring
-from quern.llm.set_join import expand, links, similar_sets
+from quern.llm.set_join import expand, expand_between, links, links_between, similar_sets
 from quern.llm.term_frequency import heavy_terms, mark_terms, repo_terms, term_counts
 
 
@@ -96,3 +96,19 @@ def test_between_two_tables(spark):
     assert side[0, 1] == side[1, 1] == (0, 1)
     empty = similar_sets(left.limit(0), "0.8", 1)
     assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_records_between_two_tables(spark):
+    rng = random.Random(5)
+    base = [rng.sample([f"t{i}" for i in range(40)], rng.randint(5, 12)) for _ in range(12)]
+    tables = [{i: set(rng.choice(base)) ^ set(rng.sample(["t1", "t2"], rng.randint(0, 1))) for i in range(60)} for _ in range(2)]
+    left, right = (spark.createDataFrame([(i, list(s)) for i, s in t.items()], "id long, tokens array<string>") for t in tables)
+    members, pairs = similar_sets(left, "0.8", 1, right)
+    expected = {(a, b) for a, x in tables[0].items() for b, y in tables[1].items() if _jaccard_at_least(x, y)}
+    found = [tuple(r) for r in expand_between(members, pairs).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and any(a == b for a, b in expected)
+    degree = Counter((side, p[side]) for p in expected for side in (0, 1))
+    told = {(r.side, r.id): (r.copies, r.links) for r in links_between(members, pairs).collect()}
+    assert told == {(side, i): (sum(s == o for o in tables[side].values()), degree[side, i]) for side in (0, 1) for i, s in tables[side].items()}
+    none = similar_sets(left.limit(0), "0.8", 1, right)
+    assert expand_between(*none).count() == 0 and {r.links for r in links_between(*none).collect()} == {0}
