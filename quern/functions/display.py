@@ -130,3 +130,8 @@ def name_part(full_name: Column) -> Column:
     """After the first slash; null without one."""
     at = F.instr(full_name, "/")
     return F.when(at > 0, F.substr(full_name, at + 1))
+
+
+def tag_cells(tags: Column, most: int = 4) -> Column:
+    """name and muted (for the model's own) of the first `most` tags, in their order."""
+    return F.transform(F.slice(tags, 1, most), lambda t: F.struct(t["name"].alias("name"), F.coalesce(t["source"] == "ai", F.lit(False)).alias("muted")))

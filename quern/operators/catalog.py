@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.current import current_rows
+from quern.operators.current import current_columns
 
 # Tag sources from weakest to strongest.
 TAG_SOURCES = ("github", "ai", "user")
@@ -20,6 +20,14 @@ def stored_languages(text: Column) -> Column:
     return F.when(whole, parsed).otherwise(F.create_map().cast("map<string,bigint>"))
 
 
+def stored_contributors(text: Column) -> Column:
+    """The stored form of contributors, a JSON list of objects; null for anything else.
+
+    The text is parsed inside a list, so that anything after its end shows as broken."""
+    one = F.from_json(F.concat(F.lit('[{"r":'), text, F.lit("}]")), "array<struct<r: array<struct<login: string, avatar_url: string, contributions: bigint>>>>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    return F.when(text.rlike("^[ \\t\\r\\n]*\\[") & (F.size(one) == 1), one[0]["r"])
+
+
 def source_rank(source: Column) -> Column:
     """0, 1, 2 from weakest to strongest; an unknown source counts as the weakest."""
     rank = F.lit(0)
@@ -39,24 +47,25 @@ def ordered_tags(tags: Column) -> Column:
     return F.array_sort(named, compare)
 
 
-def _texts(column: str) -> Column:
+def texts(column: str) -> Column:
+    """A list of texts, never null, without null ones."""
     return F.filter(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: x.isNotNull())
 
 
 def catalog(repos: DataFrame) -> DataFrame:
     """The search view: the current row of every id, lists never null, tags and groups in order.
 
-    Contributors stay behind: nothing on the search path reads them, so their column
-    is never scanned. Rows without an id are left out.
+    A plan scans and shuffles id, synced_at, seq and the columns that it asks of the
+    view, no others. Rows without an id are left out.
     """
-    rows = current_rows(repos, "id", ["synced_at", "seq"], COLUMNS)
+    rows = current_columns(repos, "id", ["synced_at", "seq"], COLUMNS)
     return rows.select(
         "id", *[c for c in COLUMNS if c not in ("languages_json", "topics", "tags", "groups", "stargazers", "archived", "fork")],
         F.coalesce("stargazers", F.lit(0)).alias("stargazers"),
         F.coalesce("archived", F.lit(False)).alias("archived"),
         F.coalesce("fork", F.lit(False)).alias("fork"),
         stored_languages(F.col("languages_json")).alias("languages"),
-        _texts("topics").alias("topics"), ordered_tags(F.col("tags")).alias("tags"), F.array_sort(_texts("groups")).alias("groups"),
+        texts("topics").alias("topics"), ordered_tags(F.col("tags")).alias("tags"), F.array_sort(texts("groups")).alias("groups"),
     )
 
 
@@ -80,3 +89,17 @@ def with_lists(repos: DataFrame, tags: DataFrame, groups: DataFrame) -> DataFram
     grouped = groups.groupBy("repo_id").agg(F.array_sort(F.collect_list("group_name")).alias("groups"))
     joined = repos.join(listed.withColumnRenamed("repo_id", "id"), "id", "left").join(grouped.withColumnRenamed("repo_id", "id"), "id", "left")
     return joined.withColumns({"tags": ordered_tags(F.col("tags")), "groups": F.coalesce("groups", F.array().cast("array<string>"))})
+
+
+def record(repos: DataFrame, tags: DataFrame, groups: DataFrame, id: int) -> DataFrame:
+    """All columns of one repository with the ordered lists of its tags and groups; no row
+    if it isn't there. The id is filtered in each table before anything is joined."""
+    mine = lambda links: links.where(F.col("repo_id") == id)
+    return with_lists(repos.where(F.col("id") == id), mine(tags), mine(groups))
+
+
+def records(repos: DataFrame, tags: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for many repositories (a column id)."""
+    ids = wanted.select("id").distinct()
+    mine = lambda links: links.join(ids.withColumnRenamed("id", "repo_id"), "repo_id", "left_semi")
+    return with_lists(repos.join(ids, "id", "left_semi"), mine(tags), mine(groups))

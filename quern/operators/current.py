@@ -22,3 +22,15 @@ def current_rows(df: DataFrame, key: str, order: list[str], columns: list[str])
         .agg(best.alias("_best"))
         .select(key, *[F.col(f"_best.c{i}").alias(c) for i, c in enumerate(columns)])
     )
+
+
+def current_columns(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """The same row per `key`, for plans that use few of the columns.
+
+    Each column is an aggregate of its own, so the optimizer drops those that a plan
+    doesn't use, from the scan on. Of rows that are equal in all of `order` each column
+    has its greatest value.
+    """
+    at = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    best = [F.max(F.struct(*at, F.col(c).alias("c")))["c"].alias(c) for c in columns]
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*best)

@@ -187,3 +187,20 @@ def test_display_values(spark):
     assert show(display.preview(F.lit("a\n <!-- x\nb  \n\n"), 2)) == "a\nb" and show(display.redact(F.lit("key=abc" + "x" * 300), "abc", 10)) == "key=[redac…"
     assert [show(F.unix_micros(display.parse_time(F.lit(t)))) for t in ("1970-01-01T00:00:01.5Z", "1970-01-01t01:00:00+01:00", "1970-13-01T00:00:00Z", "junk")] == [1_500_000, 0, None, None]
     assert show(display.format_time(F.lit("2026-02-18 01:02:03.9").cast("timestamp"))) == "2026-02-18T01:02:03Z"
+
+
+def test_the_view_takes_each_column_of_the_current_row(spark, tmp_path):
+    from quern.operators.current import current_columns
+
+    rows = [(1, 1, None, "old", None), (1, 2, None, "new", None), (1, 2, None, "new", None), (2, 1, 5, "late", "x"), (2, 9, 4, "early", "y"), (None, 1, 1, "none", "z")]
+    df = spark.createDataFrame(rows, "id long, seq long, synced_at long, a string, b string")
+    view = current_columns(df.repartition(3), "id", ["synced_at", "seq"], ["a", "b"])
+    assert {tuple(r) for r in view.collect()} == {(1, "new", None), (2, "late", "x")} and current_columns(df.limit(0), "id", ["seq"], ["a"]).count() == 0
+    df.write.parquet(str(tmp_path / "t"))
+    stored = current_columns(spark.read.parquet(str(tmp_path / "t")), "id", ["synced_at", "seq"], ["a", "b"])
+    assert "ReadSchema: struct<id:bigint,seq:bigint,synced_at:bigint,a:string>" in stored.select("id", "a")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tag_cells(small):
+    shown = small.select("id", display.tag_cells(F.col("tags"), 1).alias("c")).where("id = 2").first().c
+    assert [(t.name, t.muted) for t in shown] == [("CLI", False)]
