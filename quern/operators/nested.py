@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from quern.operators import json_index as J
 
@@ -189,11 +190,12 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-def flatten_json(df: DataFrame, record_id: str, text: str, rules: list[Rule]) -> DataFrame:
+def flatten_json(df: DataFrame, record_id: str, text: str, rules: list[Rule], record: list[str] | None = None) -> DataFrame:
     """Rows of all flat tables that `rules` find in the JSON column `text`.
 
-    Result: record_id BIGINT (of the row the text stands in), child STRING (the
-    table), node BIGINT (the number of the value within the record), parent_node
+    Result: record_id BIGINT (of the row the text stands in), with `record` also record
+    STRUCT (the named columns of that row, for a key of several columns), child STRING
+    (the table), node BIGINT (the number of the value within the record), parent_node
     BIGINT (the node of the row that encloses it most closely, -1 if none does), and all
     fields of all rules as STRING columns, null where a rule has no such field. Narrow:
     no shuffle.
@@ -204,33 +206,24 @@ def flatten_json(df: DataFrame, record_id: str, text: str, rules: list[Rule]) ->
     Of repeated members the last counts, but under `*` all come out.
     """
     columns = list(dict.fromkeys(c for r in rules for c in r.fields))
-    schema = pa.schema([("record_id", pa.int64()), ("child", pa.large_string()), ("node", pa.int64()), ("parent_node", pa.int64()), *[(c, pa.large_string()) for c in columns]])
+    carried = [F.struct(*record).alias("record")] if record else []
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, 1):
-                ids = batch.column(0)
                 for rule, rows, node, up, fields in flatten_texts(batch.column(1), rules)[1]:
-                    given = dict(zip(rule.fields, fields))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows)), pa.repeat(pa.scalar(rule.table, pa.large_string()), len(rows)), pa.array(node), pa.array(up), *[given.get(c, None) if c in given else pa.nulls(len(rows), pa.large_string()) for c in columns]],
-                        schema=schema,
-                    )
-
-    spark_schema = "record_id bigint, child string, node bigint, parent_node bigint, " + ", ".join(f"`{c}` string" for c in columns)
-    narrow = df.where(F.col(text).isNotNull()).select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(_utf8_small(convert), spark_schema)
-
-
-def _utf8_small(convert):
-    """Spark reads plain strings: large ones are cast on the way out."""
-
-    def run(batches):
-        for batch in convert(batches):
-            fields = [pa.field(f.name, pa.string() if pa.types.is_large_string(f.type) else f.type) for f in batch.schema]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, fields)], schema=pa.schema(fields))
-
-    return run
+                    given, at = dict(zip(rule.fields, fields)), pa.array(rows)
+                    of_record = {n: batch.column(n).take(at) for n in ("record_id", *(["record"] if record else []))}
+                    values = {**of_record, "child": pa.repeat(pa.scalar(rule.table), len(rows)), "node": pa.array(node), "parent_node": pa.array(up)}
+                    values |= {c: given[c] if c in given else pa.nulls(len(rows), pa.string()) for c in columns}
+                    # Spark reads plain strings: large ones are cast on the way out.
+                    yield pa.RecordBatch.from_arrays([v.cast(pa.string()) if pa.types.is_large_string(v.type) else v for v in values.values()], names=list(values))
+
+    narrow = df.where(F.col(text).isNotNull()).select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).cast("string").alias("text"), *carried)
+    schema = StructType(narrow.select("record_id", *(["record"] if record else [])).schema.fields)
+    for name, kind in [("child", StringType()), ("node", LongType()), ("parent_node", LongType()), *[(c, StringType()) for c in columns]]:
+        schema = schema.add(name, kind)
+    return narrow.mapInArrow(convert, schema)
 
 
 def parse(text: str):

@@ -119,3 +119,17 @@ def test_rules_without_fields_in_common(spark):
     df = spark.createDataFrame([(1, '{"x": true, "y": [1.5, {"k": 2}, null]}')], "id long, t string")
     got = sorted((r.child, r.p, r.q) for r in flatten_json(df, "id", "t", rules).collect())
     assert got == [("a", "true", None), ("b", None, "1.5"), ("b", None, '{"k": 2}')]
+
+
+def test_the_key_of_the_record_comes_along(spark):
+    import datetime as dt
+
+    from quern.plans import catalog_json
+
+    at = dt.datetime(2026, 1, 1)
+    text = '{"repo":{"id":5,"owner":{"login":"x","id":1}}}'
+    rows = [(1, 0, 1, 1, at, text, "clash"), (1, 0, 1, 1, None, text, "clash"), (1, 0, 1, 2, at, '{"repo":{"owner":{"login":" "}}}', None), (1, 0, 1, 3, at, "{", None), (1, 0, 1, 4, at, None, None)]
+    df = spark.createDataFrame(rows, "snapshot_no int, slice_no int, page int, pos int, received_at timestamp, payload string, node string")
+    got = [tuple(r) for r in catalog_json.owners(df.repartition(2)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1, 1, at, 1, 5, "x", 1, None), (1, 0, 1, 1, None, 1, 5, "x", 1, None)], key=str)
+    assert catalog_json.owners(df.limit(0)).count() == 0
