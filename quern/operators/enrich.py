@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,17 @@ from pyspark.sql import functions as F
 from quern.functions.names import WHITE_SPACE, trimmed
 from quern.operators.ordering import chunked
 from quern.operators.predicates import summaries
+from quern.session import cut_lineage
 
 BATCH = 25
 MOST_TAGS = 6
 ASSUMED_CONFIDENCE = 0.5
+#: Characters that one grouping request may hold.
+GROUP_PROMPT = 1 << 22
+
+
+class Cancelled(RuntimeError):
+    """A run that was asked to stop and did, between two passes."""
 
 
 class Malformed(ValueError):
@@ -136,11 +144,14 @@ def batches(view: DataFrame, order: list[Column], size: int = BATCH) -> DataFram
 
 
 def tag_batches(prompts: DataFrame, ask: Callable[[str], str], again: str = "\nReply with JSON only.") -> DataFrame:
-    """batch, ok, error, full_name, name, confidence: tags of every batch, or its error.
+    """batch, ok, error, entry, full_name, place, name, confidence: tags of every batch, in
+    the order of the reply (entry, place), or its error.
 
     `ask` runs in the executors, once per batch, once more for a malformed reply. A
-    failed batch is one row with ok false and doesn't stop the others.
+    failed batch is one row with ok false and doesn't stop the others; a reply without
+    any tag is one row with ok true and nulls.
     """
+    columns = ["batch", "ok", "error", "entry", "full_name", "place", "name", "confidence"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -148,12 +159,24 @@ def tag_batches(prompts: DataFrame, ask: Callable[[str], str], again: str = "\nR
             for batch, prompt in zip(frame["batch"], frame["prompt"]):
                 try:
                     told = with_one_retry(ask, prompt, parse_tags, again)
-                    rows += [(batch, True, None, repo, name, sure) for repo, tags in told for name, sure in tags]
+                    rows += [(batch, True, None, i, repo, k, *tag) for i, (repo, tags) in enumerate(told) for k, tag in enumerate(tags)] or [(batch, True, *[None] * 6)]
                 except Exception as e:  # a batch may fail in any way
-                    rows.append((batch, False, str(e)[:200], None, None, None))
-            yield pd.DataFrame(rows, columns=["batch", "ok", "error", "full_name", "name", "confidence"])
+                    rows.append((batch, False, str(e)[:200], *[None] * 5))
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({"entry": "Int64", "place": "Int64"})
+
+    return prompts.select("batch", "prompt").mapInPandas(run, "batch bigint, ok boolean, error string, entry int, full_name string, place int, name string, confidence double")
+
 
-    return prompts.select("batch", "prompt").mapInPandas(run, "batch bigint, ok boolean, error string, full_name string, name string, confidence double")
+def resolved(told: DataFrame, repos: DataFrame) -> DataFrame:
+    """repo_id, name, confidence, ordinal: the tags told for full names that are in the
+    catalog (of several repositories of one name the least id); unknown names are skipped.
+    Of a repository told more than once the last entry counts, as a whole."""
+    ids = repos.where(F.col("full_name").isNotNull()).groupBy("full_name").agg(F.min("id").alias("repo_id"))
+    entry = F.struct("batch", "entry")
+    named = told.where("ok AND name IS NOT NULL").groupBy("full_name").agg(F.max(entry).alias("e"), F.collect_list(F.struct(entry.alias("e"), "place", "name", "confidence")).alias("all"))
+    last = named.select("full_name", F.explode(F.filter("all", lambda t: t["e"] == F.col("e"))).alias("t"))
+    return last.join(ids, "full_name").select("repo_id", F.col("t.name").alias("name"), F.col("t.confidence").alias("confidence"), F.col("t.place").alias("ordinal"))
 
 
 def union_tags(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -168,8 +191,6 @@ def union_tags(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def run_tags(prompts: DataFrame, ask: Callable[[str], str]) -> DataFrame:
     """tag_batches, failing only if every batch failed."""
-    from quern.session import cut_lineage
-
     told = cut_lineage(tag_batches(prompts, ask))
     counts = told.groupBy("ok").agg(F.count_distinct("batch").alias("n")).collect()
     by = {r.ok: r.n for r in counts}
@@ -178,6 +199,88 @@ def run_tags(prompts: DataFrame, ask: Callable[[str], str]) -> DataFrame:
     return told
 
 
+def group_prompt(view: DataFrame, tags: DataFrame, most: int = GROUP_PROMPT) -> DataFrame:
+    """prompt: one row, the JSON list of full_name, description and tags of all
+    repositories, in the order of their names. tags: full_name, tags ARRAY<STRING>.
+
+    One request holds the whole library, so it is bounded by what a request may hold:
+    more than `most` characters are refused before anything is gathered.
+    """
+    rows = view.select("full_name", "description").join(tags, "full_name", "left")
+    line = F.to_json(F.struct("full_name", "description", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")))
+    lines = cut_lineage(rows.select("full_name", line.alias("line")))
+    size = lines.agg(F.sum(F.length("line") + 1)).first()[0] or 0
+    if size > most:
+        raise Malformed(f"the grouping request would have {size} characters, more than {most}")
+    listed = F.array_sort(F.collect_list(F.struct("full_name", "line")))
+    return lines.agg(F.concat(F.lit("["), F.array_join(listed["line"], ","), F.lit("]")).alias("prompt"))
+
+
+def ask_groups(prompt: DataFrame, ask: Callable[[str], str], again: str = "\nReply with JSON only.") -> DataFrame:
+    """ok, error, ordinal, name, summary, member: one row per member of each group of the
+    reply, or one row with the error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for prompt in frame["prompt"]:
+                try:
+                    told = with_one_retry(ask, prompt, parse_groups, again)
+                    rows += [(True, None, i, name, summary, m) for i, (name, summary, members) in enumerate(told) for m in members]
+                except Exception as e:  # the pass may fail in any way
+                    rows.append((False, str(e)[:200], None, None, None, None))
+            yield pd.DataFrame(rows, columns=["ok", "error", "ordinal", "name", "summary", "member"]).astype({"ordinal": "Int64"})
+
+    return prompt.select("prompt").mapInPandas(run, "ok boolean, error string, ordinal int, name string, summary string, member string")
+
+
+@dataclass
+class Outcome:
+    """What an enrichment run gave. tags as of tag_batches, groups as of ask_groups; repos
+    is the number of repositories tagged. The tags stand whatever became of the groups,
+    whose failure is told in group_error."""
+
+    batches: int
+    failed: int
+    repos: int
+    tags: DataFrame
+    groups: DataFrame
+    group_error: str | None
+
+
+def analyse(view: DataFrame, tag: Callable[[str], str], group: Callable[[str], str], known: DataFrame, order: list[Column], most: int = GROUP_PROMPT, cancelled: Callable[[], bool] | None = None) -> Outcome:
+    """Tags the repositories in batches, then groups all of them in one request.
+
+    known: full_name, tags ARRAY<STRING>, what is known of each; the grouping sees these
+    first and the new tags after them. Fails only if every batch did. cancelled is asked
+    before the tags and before the groups. Without repositories nothing is asked.
+    """
+    def go_on() -> None:
+        if cancelled is not None and cancelled():
+            raise Cancelled("stopped between two passes")
+
+    go_on()
+    prompts = cut_lineage(batches(view, order))
+    n = prompts.count()
+    told = run_tags(prompts, tag)
+    failed = told.where(~F.col("ok")).count()
+    tagged = told.where("ok AND name IS NOT NULL")
+    repos = tagged.select("batch", "entry").distinct().count()
+    nothing = view.sparkSession.createDataFrame([], "ordinal int, name string, summary string, member string")
+    go_on()
+    if not n:
+        return Outcome(0, 0, 0, told, nothing, None)
+    fresh = tagged.groupBy("full_name").agg(F.array_sort(F.collect_list(F.struct("batch", "entry", "place", "name"))).alias("l")).select("full_name", F.col("l.name").alias("tags"))
+    try:
+        groups = cut_lineage(ask_groups(group_prompt(view, union_tags(known, fresh), most), group))
+        error = groups.where(~F.col("ok")).select("error").first()
+        error = error[0] if error else None
+    except Malformed as e:
+        groups, error = None, str(e)
+    groups = nothing if error is not None or groups is None else groups.select("ordinal", "name", "summary", "member")
+    return Outcome(n, failed, repos, told, groups, error)
+
+
 def pointer(body: Column, path: str) -> Column:
     """The value at a JSON pointer (/choices/0/message) in a JSON text, as text."""
     steps = [s.replace("~1", "/").replace("~0", "~") for s in path.split("/")[1:]]

@@ -16,22 +16,48 @@ from quern.functions.names import trimmed
 KEPT = ("etag", "readme_md", "readme_fetched_at")
 
 
+#: Columns that an upsert fills but never empties, and when a value counts as there.
+FILLED = {
+    "languages": lambda c: F.size(c) > 0,
+    "contributors": lambda c: F.size(c) > 0,
+    "starred_at": lambda c: c.isNotNull(),
+}
+
+
+def place(rows: DataFrame, ordinal: str) -> Column:
+    """The order of rows: by ordinal (null first); of equal ordinals by a hash of the row,
+    so that the last one is the same whatever the order of the input."""
+    return F.struct(F.col(ordinal), F.xxhash64(*[F.array_sort(F.map_entries(n)) if t.startswith("map<") else F.col(n) for n, t in rows.dtypes]))
+
+
 def last_of(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """The last row of each key by ordinal, by one aggregation with a map-side combine."""
     others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(ordinal)).alias("_last"))
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), place(rows, ordinal)).alias("_last"))
     return best.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, ordinal: str, now: Column) -> DataFrame:
-    """The repositories after `incoming` is put in, in the order of its ordinal.
+def _row_after_row(rows: DataFrame, ordinal: str) -> DataFrame:
+    """One row per id, as if the rows had been upserted one after the other: the last row,
+    but of FILLED columns the last value that is there (else the last row's)."""
+    others = [c for c in rows.columns if c != "id"]
+    at = place(rows, ordinal)
+    filled = [c for c in FILLED if c in others]
+    told = rows.groupBy("id").agg(F.max_by(F.struct(*others), at).alias("_last"), *[F.max_by(c, F.when(FILLED[c](F.col(c)), at)).alias(f"_{c}") for c in filled])
+    return told.select("id", *[(F.coalesce(F.col(f"_{c}"), F.col(f"_last.{c}")) if c in filled else F.col(f"_last.{c}")).alias(c) for c in others])
+
 
-    New values replace old ones, except: empty languages keep the old ones; null
-    contributors and starred_at keep the old ones; KEPT columns stay as they are; a
-    null synced_at is `now`. Both tables have the columns of `existing` (KEPT ones may
-    be missing from incoming). Rows without an id change nothing.
+def upsert(existing: DataFrame, incoming: DataFrame, ordinal: str, now: Column) -> DataFrame:
+    """The repositories after `incoming` is put in row by row, in the order of its ordinal.
+
+    New values replace old ones, except: empty or null languages and contributors and a
+    null starred_at keep the value before, which may be that of an earlier incoming row;
+    KEPT columns stay as they are; a null synced_at is `now`. Both tables have the
+    columns of `existing` (KEPT ones may be missing from incoming). A new repository
+    without contributors has null ones. Of rows with equal id and ordinal one counts as
+    the last, always the same. Rows without an id change nothing.
     """
-    new = last_of(incoming.where(F.col("id").isNotNull()), ["id"], ordinal).drop(ordinal)
+    new = _row_after_row(incoming.where(F.col("id").isNotNull()), ordinal).drop(ordinal)
     joined = existing.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), F.col("o.id") == F.col("n.id"), "full")
     came = F.coalesce(F.col("n._new"), F.lit(False))
     out = [F.coalesce("n.id", "o.id").alias("id")]
@@ -40,11 +66,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, ordinal: str, now: Column)
             continue
         if c in KEPT or c not in new.columns:
             value = F.col(f"o.{c}")
-        elif c == "languages":
-            fresh = F.coalesce(F.size(f"n.{c}"), F.lit(0)) > 0
-            value = F.when(came & (fresh | F.col("o.id").isNull()), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-        elif c in ("contributors", "starred_at"):
-            value = F.coalesce(f"n.{c}", f"o.{c}")
+        elif c in FILLED:
+            fresh = F.when(FILLED[c](F.col(f"n.{c}")), F.col(f"n.{c}"))
+            empty = F.when(F.col("o.id").isNull(), F.col(f"n.{c}")) if c == "languages" else F.lit(None)
+            value = F.coalesce(fresh, f"o.{c}", empty)
         elif c == "synced_at":
             value = F.when(came, F.coalesce(f"n.{c}", now)).otherwise(F.col(f"o.{c}"))
         else:
@@ -53,8 +78,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, ordinal: str, now: Column)
     return joined.select(*out)
 
 
-def mirror_topics(links: DataFrame, upserted: DataFrame) -> DataFrame:
-    """Tag links after the topics of the upserted repositories became their `github` tags."""
+def mirror_topics(links: DataFrame, upserted: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """Tag links after the topics of the upserted repositories became their `github` tags.
+
+    With an ordinal, a repository may be upserted more than once, and the topics of its
+    last row count; without, each id stands once."""
+    if ordinal is not None:
+        upserted = last_of(upserted.select("id", "topics", ordinal), ["id"], ordinal)
     ids = upserted.select(F.col("id").alias("repo_id")).distinct()
     kept = links.join(ids.withColumn("_u", F.lit(True)), "repo_id", "left").where(F.col("_u").isNull() | (F.col("source") != "github")).drop("_u")
     topics = upserted.select(F.col("id").alias("repo_id"), F.explode("topics").alias("name")).where(F.col("name").isNotNull()).distinct()

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import display, fulltext, fuzzy
-from quern.functions.names import SQL_SPACE, trimmed_sql
+from quern.functions.names import SQL_SPACE, trimmed, trimmed_sql
 from quern.operators import catalog as model
 from quern.operators import enrich, facets, ordering, predicates, search, store
+from quern.operators.current import current_columns, current_rows
 from quern.plans.query import SortKey, parse
-from quern.session import read_table
+from quern.session import cut_lineage, ensure_checkpoint_dir, read_table
 from quern.sources import wire
+from quern.sources.tables import TableStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,10 +82,38 @@ def view_from_tables(spark, sf_dir):
     return joined.select("id", "full_name", F.array_join(F.transform("tags", lambda t: F.concat(t["name"], F.lit("/"), t["source"])), "|").alias("tags"), F.array_join("groups", "|").alias("groups"))
 
 
-@query("SELECT DISTINCT c.id, c.full_name, c.html_url FROM cat c JOIN documents d ON d.repo_id = c.id")
+_RECORD = ("id", "node_id", "full_name", "name", "owner", "html_url", "description", "stargazers", "primary_language", "archived", "fork", "etag")
+_LISTED = """coalesce(t, '') AS tags, coalesce(g, '') AS groups, CASE WHEN json_valid(k.contributors_json) AND json_type(k.contributors_json) = 'ARRAY' THEN json_array_length(k.contributors_json)::INTEGER END AS n_contributors FROM cat c
+JOIN (SELECT id, contributors_json FROM newest) k ON k.id = c.id
+LEFT JOIN (SELECT repo_id, string_agg(name || '/' || source, '|' ORDER BY source DESC, confidence DESC, name) AS t FROM links GROUP BY ALL) l ON l.repo_id = c.id
+LEFT JOIN (SELECT repo_id, string_agg(group_name, '|' ORDER BY group_name) AS g FROM members GROUP BY ALL) m ON m.repo_id = c.id"""
+
+
+def _whole(spark, sf_dir):
+    """The view with contributors, as the table of repositories is."""
+    rows = read_table(spark, sf_dir, "repos")
+    people = current_columns(rows, "id", ["synced_at", "seq"], ["contributors_json"])
+    return view(spark, sf_dir).join(people.select("id", model.stored_contributors(F.col("contributors_json")).alias("contributors")), "id")
+
+
+def _told(df):
+    return df.select(*_RECORD, F.array_join(F.transform("tags", lambda t: F.concat(t["name"], F.lit("/"), t["source"])), "|").alias("tags"), F.array_join("groups", "|").alias("groups"), F.size("contributors").alias("n_contributors")).withColumn("n_contributors", F.when(F.col("n_contributors") >= 0, F.col("n_contributors")))
+
+
+@query(f"SELECT {', '.join('c.' + c for c in _RECORD)}, {_LISTED} WHERE c.id IN (SELECT repo_id FROM documents)")
 def lookup_by_id(spark, sf_dir):
+    """Whole records, with contributors, tags and groups, of the repositories that documents name."""
+    v = _whole(spark, sf_dir)
     wanted = read_table(spark, sf_dir, "documents").select(F.col("repo_id").alias("id"))
-    return view(spark, sf_dir).select("id", "full_name", "html_url").join(wanted, "id", "left_semi")
+    return _told(model.records(v.drop("tags", "groups"), model.tag_links(v), model.group_links(v), wanted))
+
+
+@query(f"SELECT {', '.join('c.' + c for c in _RECORD)}, {_LISTED} WHERE c.id = (SELECT min(id) FROM repos)")
+def lookup_one(spark, sf_dir):
+    """The whole record of one id; the filter on it stands in front of every aggregation."""
+    one = read_table(spark, sf_dir, "repos").agg(F.min("id")).first()[0]
+    v = _whole(spark, sf_dir)
+    return _told(model.record(v.drop("tags", "groups"), model.tag_links(v), model.group_links(v), one if one is not None else -1))
 
 
 @query("SELECT DISTINCT c.id, c.full_name FROM cat c JOIN (SELECT json_extract_string(payload, '$.repo.full_name') AS f FROM star_items WHERE json_valid(payload)) s ON s.f = c.full_name")
@@ -123,7 +154,7 @@ on_view(
     f"SELECT id FROM cat WHERE list_has_any(list_transform(tags, lambda t: {_low('t.name')}), ['terminal', 'library']) AND list_has_any(list_transform(groups, lambda g: {_low('g')}), ['data plumbing', 'search and ranking'])",
 )
 on_view("stale_rows", lambda v: predicates.stale_rows(v, F.lit("2026-02-12 00:00:00").cast("timestamp")).select("id"), "SELECT id FROM cat WHERE synced_at IS NULL OR synced_at < TIMESTAMPTZ '2026-02-12 00:00:00+00'")
-on_view("without_languages_top", lambda v: predicates.without_languages(v, 500).select("id", "stargazers"), "SELECT id, stargazers FROM cat WHERE cardinality(languages) = 0 ORDER BY stargazers DESC, id LIMIT 500")
+on_view("without_languages_top", lambda v: predicates.without_languages(v, 60).select("id", "stargazers"), "SELECT id, stargazers FROM cat WHERE cardinality(languages) = 0 ORDER BY stargazers DESC, id LIMIT 60")
 
 
 @query("SELECT doc_id, fetched_at IS NOT NULL AND fetched_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' AS fresh FROM documents")
@@ -171,13 +202,33 @@ def _fts(name: str, terms: list[str]) -> None:
 _fts("fts_prefix", ["comm"])
 _fts("fts_all_terms", ["Read", "pre"])
 _fts("fts_phrase", ["static-sit"])
-_fts("fts_folded", ["éclat", "für"])
-on_view("fts_top", lambda v: fulltext.top(fulltext.bm25(fulltext.index_texts(v), ["in"])).select("id", F.round("rel", 6).alias("rel")), f", {fulltext.bm25_sql('cat', ['in'])} SELECT id, round(rel, 6) AS rel FROM hits ORDER BY hits.rel DESC, id LIMIT 2000")
-on_view(
-    "fts_from_postings", lambda v: fulltext.postings_bm25(fulltext.postings(fulltext.index_texts(v)), fulltext.lengths(fulltext.index_texts(v)), ["static-sit", "lib"]).select("id", F.round("rel", 6).alias("rel")),
-    f", {fulltext.bm25_sql('cat', ['static-sit', 'lib'])} SELECT id, round(rel, 6) AS rel FROM hits",
-)
-on_view("subsequence_match", lambda v: v.where(fuzzy.matches(F.col("full_name"), "nfl wq")).select("id"), "SELECT id FROM cat WHERE regexp_matches(lower(full_name), 'n.*f.*l') AND regexp_matches(lower(full_name), 'w.*q')")
+_fts("fts_folded", ["CAFE"])
+_fts("fts_folded_query", ["Überblick"])
+on_view("fts_top", lambda v: fulltext.top(fulltext.bm25(fulltext.index_texts(v), ["in"]), 25).select("id", F.round("rel", 6).alias("rel")), f", {fulltext.bm25_sql('cat', ['in'])} SELECT id, round(rel, 6) AS rel FROM hits ORDER BY hits.rel DESC, id LIMIT 25")
+on_view("fts_nothing", lambda v: fulltext.bm25(fulltext.index_texts(v), ["--", " "]), "SELECT id, 0.0::DOUBLE AS rel FROM cat WHERE false")
+
+
+@query(f", {fulltext.bm25_sql('cat', ['static-sit', 'lib'])} SELECT id, round(rel, 6) AS rel FROM hits")
+def fts_from_postings(spark, sf_dir):
+    """BM25 over a written index: written once for a folder of tables, then only read."""
+    entries, sizes = written_index(spark, sf_dir)
+    return fulltext.postings_bm25(entries, sizes, ["static-sit", "lib"]).select("id", F.round("rel", 6).alias("rel"))
+
+
+def written_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the view, as tables in the session's shared folder; they are
+    written by the first query that asks for them, sorted by token."""
+    root = f"{ensure_checkpoint_dir(spark)}/index-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    store_ = TableStore(spark, root)
+    if not store_.exists("lengths"):
+        index = cut_lineage(fulltext.index_texts(view(spark, sf_dir)))
+        with store_.transaction() as t:
+            t.write("postings", fulltext.postings(index).repartitionByRange("token"), ["token"])
+            t.write("lengths", fulltext.lengths(index))
+    return store_.read("postings"), store_.read("lengths")
+
+
+on_view("subsequence_match", lambda v: v.where(fuzzy.matches(F.col("full_name"), "nfl !wq")).select("id"), "SELECT id FROM cat WHERE regexp_matches(lower(full_name), 'n.*f.*l') AND NOT contains(lower(full_name), 'wq')")
 on_view("search_browse", lambda v: search.search(v, "lang:ferrule stars:>20").select("id", "score"), f"SELECT id, 0.0::DOUBLE AS score FROM cat WHERE {_LANG('ferrule')} AND stargazers > 20")
 QUERIES["search_hybrid"] = lambda spark, sf_dir: search.search(view(spark, sf_dir), "-is:archived reader").select("id", "full_name", "fuzzy", "fts", "score")
 QUERIES["search_fuzzy_only"] = lambda spark, sf_dir: search.search(view(spark, sf_dir), "nflb stars:>3", fts=False).select("id", "full_name", "score")
@@ -271,24 +322,60 @@ def language_batches(spark, sf_dir):
 
 @query("SELECT status, count(*) AS rows FROM (SELECT CASE WHEN r.id IS NULL THEN 404 WHEN c.etag = r.etag THEN 304 ELSE 200 END AS status FROM cat c LEFT JOIN (SELECT id, etag FROM repos WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) r ON r.id = c.id) GROUP BY ALL")
 def conditional_fetch(spark, sf_dir):
-    remote = model.current_rows(read_table(spark, sf_dir, "repos"), "id", ["seq"], ["etag"])
+    remote = current_rows(read_table(spark, sf_dir, "repos"), "id", ["seq"], ["etag"])
     return wire.conditional(view(spark, sf_dir), remote).groupBy("status").agg(F.count("*").alias("rows"))
 
 
 # Maintenance.
 
-@query(_WIRE + """ SELECT coalesce(n.id, o.id) AS id, coalesce(n.full_name, o.full_name) AS full_name, CASE WHEN n.id IS NULL THEN o.description ELSE n.description END AS description, CASE WHEN n.id IS NULL THEN o.stargazers ELSE n.stargazers END AS stargazers,
-  epoch_us(coalesce(n.starred_at, o.starred_at)) AS starred, coalesce(cardinality(o.languages), 0)::BIGINT AS n_languages, o.etag FROM cat o FULL JOIN latest n ON n.id = o.id""")
+# Row by row a known starring time, languages or contributors stay until a row brings others:
+# so the last row that brings them counts, and the last row for everything else.
+@query(_WIRE + """, timed AS (SELECT id, starred_at FROM seen WHERE starred_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY snapshot_no DESC, page DESC, pos DESC, full_name DESC) = 1)
+SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.full_name ELSE n.full_name END AS full_name, CASE WHEN n.id IS NULL THEN o.description ELSE n.description END AS description, CASE WHEN n.id IS NULL THEN o.stargazers ELSE n.stargazers END AS stargazers,
+  epoch_us(coalesce(t.starred_at, o.starred_at)) AS starred, coalesce(cardinality(o.languages), 0)::BIGINT AS n_languages, o.etag FROM cat o FULL JOIN latest n ON n.id = o.id LEFT JOIN timed t ON t.id = n.id""")
 def upsert_preserving(spark, sf_dir):
     out = store.upsert(view(spark, sf_dir).drop("tags", "groups"), wire_rows(spark, sf_dir).drop("slice_no", "snapshot_no", "page", "pos"), "ordinal", F.lit(_NOW).cast("timestamp"))
     return out.select("id", "full_name", "description", "stargazers", F.unix_micros("starred_at").alias("starred"), F.coalesce(F.size("languages"), F.lit(0)).cast("bigint").alias("n_languages"), "etag")
 
 
+_STORED = """, stored AS (SELECT seq, id, full_name, description, stargazers, starred_at, etag, topics,
+  CASE WHEN json_valid(languages_json) AND json_type(languages_json) = 'OBJECT' THEN TRY_CAST(languages_json::JSON AS MAP(VARCHAR, BIGINT)) END AS m,
+  CASE WHEN json_valid(contributors_json) AND json_type(contributors_json) = 'ARRAY' THEN json_array_length(contributors_json) END AS people FROM repos WHERE id IS NOT NULL),
+languaged AS (SELECT id, cardinality(m) AS n FROM stored WHERE cardinality(m) > 0 AND len(list_filter(map_values(m), lambda v: v IS NULL)) = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+peopled AS (SELECT id, people FROM stored WHERE people > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+starred AS (SELECT id, starred_at FROM stored WHERE starred_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+final AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
+
+
+def stored_rows(spark, sf_dir):
+    """The rows of the store in the order of their delivery, ids repeated."""
+    return read_table(spark, sf_dir, "repos").where(F.col("id").isNotNull()).select(
+        F.col("seq").alias("ordinal"), "id", "full_name", "description", F.coalesce("stargazers", F.lit(0)).alias("stargazers"), "starred_at", model.texts("topics").alias("topics"), F.lit(None).cast("timestamp").alias("synced_at"),
+        model.stored_languages(F.col("languages_json")).alias("languages"), model.stored_contributors(F.col("contributors_json")).alias("contributors"),
+    )
+
+
+@query(_STORED + """ SELECT f.id, f.full_name, f.description, coalesce(f.stargazers, 0) AS stargazers, epoch_us(s.starred_at) AS starred, coalesce(l.n, 0)::INTEGER AS n_languages, p.people::INTEGER AS n_contributors, true AS stamped
+FROM final f LEFT JOIN languaged l ON l.id = f.id LEFT JOIN peopled p ON p.id = f.id LEFT JOIN starred s ON s.id = f.id""")
+def upsert_row_by_row(spark, sf_dir):
+    """All rows of the store put into an empty table, in the order in which they came."""
+    rows = stored_rows(spark, sf_dir)
+    out = store.upsert(rows.drop("ordinal").limit(0), rows, "ordinal", F.lit(_NOW).cast("timestamp"))
+    people = F.size("contributors")
+    return out.select("id", "full_name", "description", "stargazers", F.unix_micros("starred_at").alias("starred"), F.size("languages").alias("n_languages"), F.when(people > 0, people).alias("n_contributors"), (F.col("synced_at") == F.lit(_NOW).cast("timestamp")).alias("stamped"))
+
+
+@query(_STORED + """ SELECT repo_id, name, source FROM links WHERE source <> 'github' OR repo_id NOT IN (SELECT id FROM final)
+UNION ALL SELECT DISTINCT id, t, 'github' FROM (SELECT id, unnest(topics) AS t FROM final) WHERE t IS NOT NULL""")
+def mirror_topics_row_by_row(spark, sf_dir):
+    """Topics of repeated ids: those of the last row become tags, those of rows before don't."""
+    return store.mirror_topics(_links(spark, sf_dir), stored_rows(spark, sf_dir), "ordinal").select("repo_id", "name", "source")
+
+
 @query(_WIRE + """ SELECT repo_id, name, source, round(confidence, 6) AS confidence FROM links WHERE source <> 'github' OR repo_id NOT IN (SELECT id FROM latest)
 UNION ALL SELECT DISTINCT id, t, 'github', 1.0 FROM (SELECT id, unnest(topics) AS t FROM latest) WHERE t IS NOT NULL""")
 def mirror_topics(spark, sf_dir):
-    latest = store.last_of(wire_rows(spark, sf_dir).select("id", "topics", "ordinal"), ["id"], "ordinal")
-    return store.mirror_topics(_links(spark, sf_dir), latest).withColumn("confidence", F.round("confidence", 6))
+    return store.mirror_topics(_links(spark, sf_dir), wire_rows(spark, sf_dir), "ordinal").withColumn("confidence", F.round("confidence", 6))
 
 
 _INCOMING = """, incoming AS (SELECT id AS repo_id, t.topic AS name, max(t.place) AS place FROM (SELECT id, unnest(list_transform(topics, lambda x, i: struct_pack(topic := x, place := i))) AS t FROM cat) GROUP BY ALL)"""
@@ -368,19 +455,22 @@ def sync_unstarred(spark, sf_dir):
     return _unseen(spark, sf_dir, view(spark, sf_dir))
 
 
-@query(_UNSEEN + """ SELECT 'repos' AS kept, count(*) AS rows FROM cat WHERE id NOT IN (SELECT id FROM gone)
-UNION ALL SELECT 'tag_links', count(*) FROM links WHERE repo_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'group_members', count(*) FROM members WHERE repo_id NOT IN (SELECT id FROM gone)""")
+@query(_UNSEEN + """ SELECT 'repos' AS kept, id, full_name AS what FROM cat WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'tag_links', repo_id, source || '/' || name FROM links WHERE repo_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'group_members', repo_id, group_name FROM members WHERE repo_id NOT IN (SELECT id FROM gone)""")
 def delete_cascade(spark, sf_dir):
-    v = view(spark, sf_dir)
-    parts = store.delete_repos(_unseen(spark, sf_dir, v), v, model.tag_links(v), model.group_links(v))
-    counts = [p.agg(F.count("*").alias("rows")).select(F.lit(n).alias("kept"), "rows") for n, p in zip(("repos", "tag_links", "group_members"), parts)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """What stays of the three tables when the repositories no longer listed are deleted."""
+    v = cut_lineage(view(spark, sf_dir).select("id", "full_name", "tags", "groups"))
+    gone = cut_lineage(_unseen(spark, sf_dir, v))
+    repos, links, members = store.delete_repos(gone, v, model.tag_links(v), model.group_links(v))
+    what = {"repos": (repos, "id", F.col("full_name")), "tag_links": (links, "repo_id", F.concat_ws("/", "source", "name")), "group_members": (members, "repo_id", F.col("group_name"))}
+    parts = [df.select(F.lit(n).alias("kept"), F.col(key).alias("id"), told.alias("what")) for n, (df, key, told) in what.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(_UNSEEN + """ SELECT c.id, coalesce(n.full_name, c.full_name) AS full_name FROM cat c LEFT JOIN latest n ON n.id = c.id WHERE c.id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT id, full_name FROM latest WHERE id NOT IN (SELECT id FROM cat) AND id NOT IN (SELECT id FROM gone)""")
 def merge_delta(spark, sf_dir):
-    v = view(spark, sf_dir).select("id", "full_name")
+    v = cut_lineage(view(spark, sf_dir).select("id", "full_name"))
     latest = store.last_of(wire_rows(spark, sf_dir).select("id", "full_name", "ordinal"), ["id"], "ordinal").select("id", "full_name")
     return store.merge_delta(v, latest, _unseen(spark, sf_dir, v))
 
@@ -415,7 +505,7 @@ def count_drift(spark, sf_dir):
 SELECT c.id, CASE WHEN f.status = 200 THEN f.stargazers ELSE c.stargazers END AS stargazers, epoch_us(c.starred_at) AS starred, epoch_us(TIMESTAMPTZ '{_NOW}+00') AS synced FROM cat c JOIN fetched f ON f.id = c.id""")
 def refresh_by_status(spark, sf_dir):
     v = view(spark, sf_dir)
-    remote = model.current_rows(read_table(spark, sf_dir, "repos"), "id", ["seq"], ["etag", "stargazers", "starred_at"])
+    remote = current_rows(read_table(spark, sf_dir, "repos"), "id", ["seq"], ["etag", "stargazers", "starred_at"])
     out = store.apply_refresh(v.select("id", "stargazers", "starred_at", "synced_at"), wire.conditional(v, remote), F.lit(_NOW).cast("timestamp"))
     return out.select("id", "stargazers", F.unix_micros("starred_at").alias("starred"), F.unix_micros("synced_at").alias("synced"))
 
@@ -429,12 +519,19 @@ on_view(
   FROM cat LEFT JOIN (SELECT id AS k, string_agg(y.name, chr(1) ORDER BY y.source DESC, y.confidence DESC, y.name) AS t FROM (SELECT id, unnest(tags) AS y FROM cat) GROUP BY id) ON k = id)
 SELECT c.full_name, coalesce(s, '') AS tags FROM cat c LEFT JOIN (SELECT full_name, string_agg(x, '|' ORDER BY i) AS s FROM (SELECT full_name, x, min(i) AS i FROM each WHERE x <> '' GROUP BY ALL) GROUP BY ALL) e ON e.full_name = c.full_name""",
 )
-QUERIES["enrich_batches"] = lambda spark, sf_dir: enrich.batches(view(spark, sf_dir), ordering.tie_break()).select("batch", "repos")
-SQL["enrich_batches"] = _VIEW + " SELECT batch, count(*)::INTEGER AS repos FROM (SELECT (row_number() OVER (ORDER BY " + _TIES + ") - 1) // 25 AS batch FROM cat) GROUP BY ALL"
-
-
-@query(None)
+_OBJECT = """'{"full_name":' || to_json(full_name) || coalesce(',"description":' || to_json(description), '') || CASE WHEN len(topics) > 0 THEN ',"topics":' || to_json(topics) ELSE '' END || coalesce(',"language":' || to_json(primary_language), '') || '}'"""
+SQL_BATCHES = f"""batched AS (SELECT id, full_name, primary_language, {_OBJECT} AS o, (row_number() OVER (ORDER BY {_TIES}) - 1) // 25 AS batch FROM cat)"""
+on_view("enrich_batches", lambda v: enrich.batches(v, ordering.tie_break()).select("batch", "repos", "prompt"), f", {SQL_BATCHES} SELECT batch, count(*)::INTEGER AS repos, '[' || string_agg(o, ',' ORDER BY full_name) || ']' AS prompt FROM batched GROUP BY ALL")
+
+
+@query(f""", told AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '\\{{.*\\}}', 0, 's') AS j FROM documents WHERE lower({trimmed_sql('source')}) = 'tag_reply'),
+fine AS (SELECT doc_id, j::JSON AS j FROM told WHERE j <> '' AND json_valid(j)),
+listed AS (SELECT doc_id, r->>'$.full_name' AS full_name, t, i FROM (SELECT doc_id, r, unnest(json_extract(r, '$.tags[*]')) AS t, unnest(range(len(json_extract(r, '$.tags[*]')))) AS i FROM (SELECT doc_id, unnest(json_extract(j, '$.repos[*]')) AS r FROM fine))),
+named AS (SELECT doc_id, trim(full_name) AS full_name, regexp_replace(lower({trimmed_sql("t->>'$.name'")}), '{SQL_SPACE}+', '-', 'g') AS name, coalesce(least(greatest((t->>'$.confidence')::DOUBLE, 0), 1), 0.5) AS confidence, i FROM listed),
+firsts AS (SELECT * FROM named WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, full_name, name ORDER BY i) = 1),
+six AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY doc_id, full_name ORDER BY i) <= 6)
+SELECT doc_id AS batch, true AS ok, full_name, name, confidence FROM six UNION ALL SELECT doc_id, true, NULL, NULL, NULL FROM fine WHERE doc_id NOT IN (SELECT doc_id FROM six) UNION ALL SELECT doc_id, false, NULL, NULL, NULL FROM told WHERE doc_id NOT IN (SELECT doc_id FROM fine)""")
 def enrich_replies(spark, sf_dir):
-    """Tags in the model replies among the documents; a reply that can't be used is one row with its error."""
-    replies = read_table(spark, sf_dir, "documents").where(F.lower(F.trim("source")) == "tag_reply").select(F.col("doc_id").alias("batch"), F.coalesce("text", F.lit("")).alias("prompt"))
-    return enrich.tag_batches(replies, lambda reply: reply, again="")
+    """Tags in the model replies among the documents; a reply that can't be used is one row that isn't ok."""
+    replies = read_table(spark, sf_dir, "documents").where(F.lower(trimmed(F.col("source"))) == "tag_reply").select(F.col("doc_id").alias("batch"), F.coalesce("text", F.lit("")).alias("prompt"))
+    return enrich.tag_batches(replies, lambda reply: reply, again="").drop("error", "entry", "place")

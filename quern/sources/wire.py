@@ -19,11 +19,11 @@ BATCH = "data map<string, struct<databaseId bigint, languages struct<edges array
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of page files (each a JSON list of items, newest first): item columns, file, position.
+    """Rows of page files (each a JSON list of items, newest first): item columns, file (its path), position.
 
     The schema is given, so nothing is inferred; broken files are empty.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     items = text.select("file", F.posexplode(F.from_json("value", f"array<struct<{ITEM}>>")).alias("position", "item"))
     return items.select("file", "position", "item.*")
 

@@ -31,10 +31,31 @@ def test_upsert_keeps_what_is_not_sent(spark):
     out = {r.id: r for r in store.upsert(old, new, "ordinal", now()).collect()}
     assert set(out) == {1, 2, 3}
     assert (out[1].full_name, out[1].languages, out[1].contributors, out[1].starred_at, out[1].etag) == ("a/A", {"Rust": 1}, ["x"], "s1", "e1")
-    assert out[1].synced_at is not None and out[2].synced_at is None and out[3].contributors == [] and out[3].etag is None
+    assert out[1].synced_at is not None and out[2].synced_at is None and out[3].contributors is None and out[3].etag is None
     assert store.upsert(old.limit(0), new.limit(0), "ordinal", now()).count() == 0
 
 
+def test_upsert_goes_row_by_row(spark):
+    schema = "id long, full_name string, languages map<string,long>, contributors array<string>, starred_at string, synced_at timestamp, etag string"
+    old = spark.createDataFrame([(1, "a/a", {"Rust": 1}, ["x"], "s1", None, "e1")], schema)
+    rows_ = [(1, "a/1", {"Go": 1}, ["y"], "s2", None, 1), (1, "a/2", {}, [], None, None, 2), (2, "b/1", {"C": 3}, None, "t1", None, 1), (2, "b/2", None, ["z"], None, None, 2), (2, "b/3", {}, None, "t3", None, 3), (3, "c/1", {}, [], None, None, None)]
+    new = spark.createDataFrame(rows_, "id long, full_name string, languages map<string,long>, contributors array<string>, starred_at string, synced_at timestamp, ordinal int")
+    out = {r.id: r for r in store.upsert(old, new.repartition(3), "ordinal", now()).collect()}
+    told = {i: (r.full_name, r.languages, r.contributors, r.starred_at) for i, r in out.items()}
+    assert told == {1: ("a/2", {"Go": 1}, ["y"], "s2"), 2: ("b/3", {"C": 3}, ["z"], "t3"), 3: ("c/1", {}, None, None)}
+    empty = spark.createDataFrame([(1, "a/9", {}, [], None, None, 1)], new.schema)
+    (kept,) = store.upsert(old, empty, "ordinal", now()).collect()
+    assert (kept.full_name, kept.languages, kept.contributors, kept.starred_at) == ("a/9", {"Rust": 1}, ["x"], "s1")
+    ties = spark.createDataFrame([(1, c, {}, None, None, None, 1) for c in "pqrst"], new.schema)
+    assert len({store.upsert(old, ties.repartition(n), "ordinal", now()).first().full_name for n in (1, 2, 5)}) == 1
+
+
+def test_topics_of_the_last_row(spark):
+    have = links(spark, (1, "older", "github"), (1, "mine", "user"))
+    topics = spark.createDataFrame([(1, ["old"], 1), (1, ["new", "new"], 2), (2, None, 1)], "id long, topics array<string>, ordinal int")
+    assert rows(store.mirror_topics(have, topics, "ordinal"), "repo_id", "name", "source") == {(1, "new", "github"), (1, "mine", "user")}
+
+
 def test_tags(spark):
     have = links(spark, (1, "rust", "github"), (1, "Cli", "user"), (1, "old", "ai"), (2, "kept", "ai"))
     new = spark.createDataFrame([(1, "cli", 0.5, 0), (1, "new", 0.1, 1), (1, "new", 0.9, 2), (3, None, None, 0)], "repo_id long, name string, confidence double, ordinal int")
@@ -84,6 +105,19 @@ def test_versions(spark, tmp_path):
     assert tables.read("t").count() == 3 and not (tmp_path / "t" / "v2").exists()
 
 
+def test_tables_change_together(spark, tmp_path):
+    tables = TableStore(spark, str(tmp_path))
+    with tables.transaction() as t:
+        t.write("a", spark.range(1))
+        assert t.read("a").count() == 1 and not tables.exists("a")
+        t.write("b", t.read("a").union(spark.range(1)))
+    with pytest.raises(ZeroDivisionError), tables.transaction() as t:
+        t.write("a", spark.range(9))
+        t.write("a", t.read("a").limit(5))
+        1 / 0
+    assert tables.read("a").count() == 1 and tables.read("b").count() == 2 and tables.write("a", spark.range(3)) == 2 and tables.read("a").count() == 3
+
+
 def star(id, day, **more):
     return {"starred_at": day and f"2026-02-{day:02d}T00:00:00Z", "repo": {"id": id, "node_id": f"n{id}", "name": f"r{id}", "full_name": f"o/r{id}", "owner": {"login": "o"}, "html_url": "u", "stargazers_count": id * 100, "topics": ["t"], **more}}
 
@@ -135,6 +169,47 @@ def test_runs_refresh_backfill_and_prune(spark, tmp_path):
     assert (third.mode, third.removed, third.languages_filled) == ("full", 1, 1) and rows(catalog.read("tags")) == {("t", "github")}
 
 
+def test_a_full_run_counts_rows_and_sets_the_mark_back(spark, tmp_path):
+    catalog = sync.Catalog(spark, str(tmp_path / "c"))
+    sync.sync(catalog, pages(spark, tmp_path, "a", [star(1, 9), star(2, 8)]), now())
+    again = sync.full_sync(catalog, pages(spark, tmp_path, "b", [star(2, 5, topics=["old"]), star(2, 3, topics=["last"]), star(2, None, topics=["last"])]), now())
+    assert (again.seen, again.written, again.removed) == (3, 3, 1) and catalog.get(sync.WATERMARK) == "2026-02-05T00:00:00Z" and catalog.get(sync.LAST_RUN) == "2026-03-01T00:00:00Z"
+    assert rows(catalog.read("tag_links"), "repo_id", "name") == {(2, "last")} and catalog.read("repos").first().starred_at.day == 3
+    sync.full_sync(catalog, pages(spark, tmp_path, "d", [star(2, None)]), now())
+    assert catalog.get(sync.WATERMARK) == "2026-02-05T00:00:00Z"
+
+
+def test_a_cancelled_run_writes_nothing(spark, tmp_path):
+    catalog = sync.Catalog(spark, str(tmp_path / "c"))
+    listing = pages(spark, tmp_path, "a", [star(1, 1)])
+    asked = []
+    with pytest.raises(sync.Cancelled):
+        sync.full_sync(catalog, listing, now(), cancelled=lambda: asked.append(1) or len(asked) == 3)
+    assert catalog.read("repos").count() == 0 and catalog.get(sync.INITIAL_DONE) is None
+    sync.full_sync(catalog, listing, now(), cancelled=lambda: False)
+    with pytest.raises(sync.Cancelled):
+        sync.incremental_sync(catalog, pages(spark, tmp_path, "b", [star(2, 2)]), now(), cancelled=lambda: True)
+    assert rows(catalog.read("repos"), "id") == {(1,)}
+
+
+def test_cached_texts_and_records(spark, tmp_path):
+    catalog = sync.Catalog(spark, str(tmp_path / "c"))
+    sync.full_sync(catalog, pages(spark, tmp_path, "a", [star(1, 1), star(2, 2), star(3, 3)]), now())
+    told = spark.createDataFrame([(1, "one"), (2, None)], "id long, text string")
+    fetch = lambda missing: missing.join(told, "id").select("id", "text")
+    wanted = spark.createDataFrame([(1,), (2,), (2,), (99,)], "id long")
+    assert rows(sync.cached_texts(catalog, wanted, fetch, now())) == {(1, "one"), (2, None)}
+    again = lambda missing: missing.select("id", F.lit("again").alias("text"))
+    assert rows(sync.cached_texts(catalog, wanted, again, now() + F.expr("INTERVAL 1 DAY"))) == {(1, "one"), (2, "again")}
+    assert rows(sync.cached_texts(catalog, wanted.where("id = 1"), again, now() + F.expr("INTERVAL 9 DAYS"))) == {(1, "again")}
+    people = spark.createDataFrame([(1, [("a", "u", 2)])], "id long, contributors array<struct<login:string,avatar_url:string,contributions:long>>")
+    assert rows(sync.fetch_contributors(catalog, people).select("id", F.col("contributors")[0]["login"])) == {(1, "a")}
+    catalog.tables.write("group_members", spark.createDataFrame([(1, "g"), (2, "h")], "repo_id long, group_name string"))
+    (one,) = catalog.record(1).collect()
+    assert (one.readme_md, one.contributors[0].login, [t.name for t in one.tags], one.groups) == ("again", "a", ["t"], ["g"])
+    assert catalog.record(99).count() == 0
+
+
 def test_stream(spark, tmp_path):
     catalog = sync.Catalog(spark, str(tmp_path / "c"))
     inbox = tmp_path / "inbox"
@@ -193,8 +268,8 @@ def test_a_stopped_stream_is_not_done(spark, tmp_path):
 def test_stream_sync_over_one_file_and_many(spark, tmp_path):
     from quern.plans.streams import stream_sync
 
-    payloads = [(1, 1, i, json.dumps(star(i, 28 - i // 6))) for i in range(140)] + [(0, 1, i, json.dumps(star(i, None, stargazers_count=1))) for i in range(140)]
-    df = spark.createDataFrame(payloads, "snapshot_no int, page int, pos int, payload string")
+    payloads = [(1, 1, i, None, json.dumps(star(i, 28 - i // 6))) for i in range(140)] + [(0, 1, i, None, json.dumps(star(i, None, stargazers_count=1))) for i in range(140)]
+    df = spark.createDataFrame(payloads, "snapshot_no int, page int, pos int, received_at timestamp, payload string")
     df.coalesce(1).write.parquet(str(tmp_path / "one" / "star_items.parquet"))
     df.repartitionByRange(140, F.desc("snapshot_no"), "pos").write.parquet(str(tmp_path / "many" / "star_items.parquet"))
     one, many = (rows(stream_sync(spark, str(tmp_path / d))) for d in ("one", "many"))
@@ -258,6 +333,8 @@ def test_enrichment(spark):
     assert told[0] == (True, "t", None) and told[2][:2] == (True, "t") and not told[1][0] and told[3] == (False, None, "no route")
     with pytest.raises(enrich.Malformed):
         enrich.run_tags(asked.where("batch = 1"), ask)
+    nothing = {r.batch: (r.ok, r.name) for r in enrich.run_tags(asked.where("batch in (0, 1)"), lambda p: '{"repos":[]}' if p == "good" else "sorry").collect()}
+    assert nothing == {0: (True, None), 1: (False, None)}
     old = spark.createDataFrame([("a", [" x ", "y", ""]), ("b", None)], "full_name string, tags array<string>")
     new = spark.createDataFrame([("a", ["X", "y", "z"]), ("c", ["q"])], "full_name string, tags array<string>")
     assert {r.full_name: r.tags for r in enrich.union_tags(old, new).collect()} == {"a": ["x", "y", "X", "z"], "b": [], "c": ["q"]}
@@ -265,6 +342,45 @@ def test_enrichment(spark):
     assert body.select(enrich.pointer(F.col("b"), "/choices/0/message/content")).first()[0] == "hi"
 
 
+def test_analysis(spark):
+    repos = spark.createDataFrame([(i, f"o/r{i}", None, 60 - i, ["t"], "L") for i in range(60)] + [(99, "o/r0", None, -1, None, None)], "id long, full_name string, description string, stargazers long, topics array<string>, primary_language string")
+    known = spark.createDataFrame([("o/r1", [" k "])], "full_name string, tags array<string>")
+    order = [F.desc("stargazers"), F.asc("id")]
+    seen = []
+
+    def tag(prompt):
+        names = [r["full_name"] for r in json.loads(prompt)]
+        if "o/r30" in names:
+            raise OSError("down")
+        return json.dumps({"repos": [{"full_name": n, "tags": ["A b", "c"]} for n in names] + [{"full_name": "x/unknown", "tags": ["z"]}]})
+
+    def group(prompt):
+        asked = json.loads(prompt)
+        assert {r["full_name"]: r["tags"] for r in asked}["o/r1"] == ["k", "a-b", "c"]
+        return json.dumps({"groups": [{"name": "all", "summary": "s", "members": [r["full_name"] for r in asked]}]})
+
+    out = enrich.analyse(repos, tag, group, known, order)
+    assert (out.batches, out.failed, out.repos, out.group_error) == (3, 1, 38, None)
+    assert rows(enrich.resolved(out.tags, repos).where("repo_id = 0")) == {(0, "a-b", 0.5, 0), (0, "c", 0.5, 1)} and enrich.resolved(out.tags, repos).where("repo_id = 99").count() == 0
+    assert out.groups.count() == 60
+    kept = enrich.analyse(repos, tag, lambda p: "no", known, order)
+    assert kept.group_error and kept.groups.count() == 0 and kept.repos == 38
+    long = enrich.analyse(repos, tag, group, known, order, most=100)
+    assert "more than 100" in long.group_error and long.tags.where("ok").count() > 0
+    with pytest.raises(enrich.Malformed, match="every batch"):
+        enrich.analyse(repos, lambda p: "no", group, known, order)
+    with pytest.raises(enrich.Cancelled):
+        enrich.analyse(repos, tag, group, known, order, cancelled=lambda: seen.append(1) or len(seen) == 2)
+    empty = enrich.analyse(repos.limit(0), tag, group, known, order)
+    assert (empty.batches, empty.repos, empty.groups.count()) == (0, 0, 0)
+
+
+def test_the_last_entry_of_a_repository_counts(spark):
+    told = spark.createDataFrame([(0, True, 0, "a/b", 0, "x", 0.1), (0, True, 1, "a/b", 0, "y", 0.2), (1, False, None, None, None, None, None), (0, True, 1, "a/b", 1, "z", 0.3), (0, True, 2, "no/no", 0, "q", 0.3)], "batch long, ok boolean, entry int, full_name string, place int, name string, confidence double")
+    repos = spark.createDataFrame([(7, "a/b"), (8, "A/b"), (None, None)], "id long, full_name string")
+    assert rows(enrich.resolved(told, repos)) == {(7, "y", 0.2, 0), (7, "z", 0.3, 1)}
+
+
 def test_synthetic_rows_do_not_depend_on_partitions(spark):
     from quern.sources.synthetic import synthetic_catalog
 
