@@ -71,38 +71,68 @@ def test_exact_fit_against_all_choices():
         assert all(0 <= t <= n for t, n in zip(take, counts))
 
 
+def _sums(lengths, counts, most=1):
+    sums = {0}
+    for length, n in zip(lengths, counts):
+        sums = {s + k * length for s in sums for k in range(n * most + 1)}
+    return sums
+
+
+def _total(lengths, draws):
+    return sum(a * b for a, b in zip(lengths, draws))
+
+
 def test_fit_source():
-    assert fit_source([10, 20], [3, 1], 50, 2, 0) == (1, [0, 0])
-    assert fit_source([10, 20], [3, 1], 10**9, 2, 0) == (2, [0, 0])
-    assert fit_source([], [], 10, 3, 0) == (0, []) and fit_source([0], [5], 10, 3, 0) == (0, [0])
-    passes, take = fit_source([7, 11, 13], [10**6, 10**6, 10**6], 20_000_003, 5, 1)
-    assert passes == 0 and 20_000_003 - sum(a * b for a, b in zip(take, [7, 11, 13])) == 0
+    assert fit_source([10, 20], [3, 1], 50, 2, 0) == [3, 1]
+    assert fit_source([10, 20], [3, 1], 10**9, 2, 0) == [6, 2]
+    assert fit_source([], [], 10, 3, 0) == [] and fit_source([0], [5], 10, 3, 0) == [0]
+    assert _total([7, 11, 13], fit_source([7, 11, 13], [10**6, 10**6, 10**6], 20_000_003, 5, 1)) == 20_000_003
     lengths, counts = list(range(1, 3000)), [1] * 2999
-    assert sum(a * b for a, b in zip(fit_source(lengths, counts, 4_000_001, 1, 2)[1], lengths)) == 4_000_001 > EXACT_BUDGET
+    assert _total(lengths, fit_source(lengths, counts, 4_000_001, 1, 2)) == 4_000_001 > EXACT_BUDGET
+
+
+def test_few_documents_with_repeats_against_all_choices():
+    rng = random.Random(8)
+    for seed in range(300):
+        lengths = sorted(rng.sample(range(2, 90), rng.randint(1, 5)))
+        counts, most = [rng.randint(0, 3) for _ in lengths], rng.randint(0, 5)
+        budget = rng.randint(0, _total(lengths, counts) * (most + 1) + 5)
+        draws = fit_source(lengths, counts, budget, most, seed)
+        assert all(0 <= d <= n * most for d, n in zip(draws, counts))
+        assert _total(lengths, draws) == max(s for s in _sums(lengths, counts, most) if s <= budget)
+    # Neither two passes nor three meet it; a document drawn four times and one not at all do.
+    assert _total([100, 31], fit_source([100, 31], [1, 1], 400, 4, 0)) == 400
 
 
 def test_fit_source_with_long_documents():
-    assert fit_source([120_000, 10], [3, 2000], 270_000, 1, 0) == (0, [2, 2000])
+    assert fit_source([120_000, 10], [3, 2000], 270_000, 1, 0) == [2, 2000]
     rng = random.Random(3)
     for seed in range(120):  # few long documents: against all choices
         lengths = sorted(rng.sample(range(100_001, 400_000), rng.randint(1, 4))) + [rng.randint(1, 99), 7001]
         counts = [rng.randint(1, 3) for _ in lengths[:-2]] + [rng.randint(0, 300), rng.randint(0, 3)]
-        size = sum(length * n for length, n in zip(lengths, counts))
-        budget = rng.randint(1, size - 1)
-        sums = {0}
-        for length, n in zip(lengths, counts):
-            sums = {s + k * length for s in sums for k in range(n + 1)}
-        passes, take = fit_source(lengths, counts, budget, 1, seed)
-        assert passes == 0 and all(0 <= t <= n for t, n in zip(take, counts))
-        assert sum(t * x for t, x in zip(take, lengths)) == max(s for s in sums if s <= budget)
+        budget = rng.randint(1, _total(lengths, counts) - 1)
+        take = fit_source(lengths, counts, budget, 1, seed)
+        assert all(0 <= t <= n for t, n in zip(take, counts))
+        assert _total(lengths, take) == max(s for s in _sums(lengths, counts) if s <= budget)
 
 
 def test_fit_source_beyond_the_wide_budget():
     for lengths, counts in (([120_011, 150_001, 10], [300, 200, 2000]), ([6_000_000, 9_000_001], [3, 2])):
-        budget = sum(length * n for length, n in zip(lengths, counts)) * 2 // 3
-        passes, take = fit_source(lengths, counts, budget, 1, 0)
-        drawn = sum(t * x for t, x in zip(take, lengths))
-        assert passes == 0 and all(0 <= t <= n for t, n in zip(take, counts)) and 0 <= budget - drawn < max(lengths)
+        budget = _total(lengths, counts) * 2 // 3
+        take = fit_source(lengths, counts, budget, 1, 0)
+        assert all(0 <= t <= n for t, n in zip(take, counts)) and 0 <= budget - _total(lengths, take) < max(lengths)
+
+
+def test_a_hot_length_is_dealt_exactly(spark):
+    df = spark.range(4000).select("id", F.lit("a").alias("source"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 7).cast("bigint").alias("size"))
+    targets = spark.createDataFrame([("a", 0.61803, 3)], "source string, weight double, max_repeats int")
+    mix = Mix(df.repartition(6), targets)
+    draws = mix.draws().collect()
+    by = defaultdict(int)
+    for r in draws:
+        by[r["size"]] += r.draws
+    assert {r["size"]: r.draws for r in mix.fitted.collect() if r.draws} == dict(by) and len({r.id for r in draws}) == len(draws)
+    assert sum(k * n for k, n in by.items()) == mix.targets[0][4] and max(r.draws for r in draws) == 1
 
 
 def test_mix_meets_its_budgets(spark):
