@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import token_count, token_count_sql
@@ -152,8 +152,10 @@ def document_places(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that came to lie in more than one container."""
     places = document_places(read_table(spark, sf_dir, "documents"))
-    return places.where(F.col("part") == 1).select("doc_id").distinct()
+    split = places.groupBy("doc_id").agg(F.min("bin").alias("least"), F.max("bin").alias("greatest"))
+    return split.where(F.col("least") != F.col("greatest")).select("doc_id")
 
 
 def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,5 +167,30 @@ def p6_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_places(read_table(spark, sf_dir, "documents")).groupBy("bin").agg(F.count("*").alias("pieces"), F.sum("size").alias("fill"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_places": p6_places, "p6_bins": p6_bins}
-SQL = {"p6_found": f"SELECT doc_id FROM documents WHERE {token_count_sql('text')} > {CAPACITY}"}
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, part, start, size of every piece placed; fits: its container holds what its
+    fill says and no more than the capacity; clear: it begins where the pieces before it end."""
+    places = document_places(read_table(spark, sf_dir, "documents"))
+    inside = Window.partitionBy("bin")
+    before = F.sum("size").over(inside.orderBy("offset", "size", "doc_id", "part").rowsBetween(Window.unboundedPreceding, -1))
+    fits = (F.sum("size").over(inside) == F.col("fill")) & (F.col("fill") <= CAPACITY)
+    return places.select("doc_id", "part", "start", "size", fits.alias("fits"), (F.coalesce(before, F.lit(0)) == F.col("offset")).alias("clear"))
+
+
+def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the containers have at most a hundredth of their room to spare, but for one in a
+    hundred and one more: items, tokens, and filled."""
+    bins = p6_bins(spark, sf_dir)
+    told = bins.agg(F.sum("pieces").alias("pieces"), F.sum("fill").alias("tokens"), F.count("*").alias("bins"))
+    least = F.ceil(F.col("tokens") / F.lit(CAPACITY))
+    return told.select("pieces", "tokens", (F.col("bins") <= least + F.ceil(least / F.lit(100)) + 1).alias("filled"))
+
+
+_SQL = f"""WITH sized AS (SELECT doc_id, {token_count_sql("coalesce(text, '')")} AS size FROM documents),
+pieces AS (SELECT doc_id, size, unnest(range(greatest((size + {CAPACITY - 1}) // {CAPACITY}, 1)))::INTEGER AS part FROM sized) """
+QUERIES = {"p6_found": p6_found, "p6_places": p6_places, "p6_bins": p6_bins, "p6_kept": p6_kept, "p6_filled": p6_filled}
+SQL = {
+    "p6_found": f"SELECT doc_id FROM documents WHERE {token_count_sql('text')} > {CAPACITY}",
+    "p6_kept": _SQL + f"SELECT doc_id, part, part::BIGINT * {CAPACITY} AS start, least(size - part::BIGINT * {CAPACITY}, {CAPACITY}) AS size, true AS fits, true AS clear FROM pieces",
+    "p6_filled": _SQL + "SELECT count(*)::BIGINT AS pieces, (SELECT sum(size) FROM sized)::BIGINT AS tokens, true AS filled FROM pieces",
+}
