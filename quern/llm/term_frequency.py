@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.names import name_key_sql, name_keys
 from quern.llm import repo_names
+from quern.session import cut_lineage
 
 #: A term is heavy if it makes up at least one in HEAVY_SHARE of all occurrences, so at most that many are.
 HEAVY_SHARE = 512
@@ -96,8 +97,8 @@ def term_counts(records: DataFrame, terms: dict[str, Column], heavy_from: DataFr
     A null array and null terms count as absent; an empty string is a term like any
     other; repeats within a record raise occurrences only. No rows give no rows.
     """
-    heavy = heavy_terms(heavy_from if heavy_from is not None else records, terms, share)
-    parts = records.select(_tagged(terms).alias("t")).mapInArrow(lambda b: _count(b, heavy), "term string, occurrences bigint, records bigint")
+    heavy = records.sparkSession.sparkContext.broadcast(heavy_terms(heavy_from if heavy_from is not None else records, terms, share))
+    parts = records.select(_tagged(terms).alias("t")).mapInArrow(lambda b: _count(b, heavy.value), "term string, occurrences bigint, records bigint")
     total = parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     fields = F.array(*[F.lit(f) for f in terms])
     number = F.substring_index("term", ":", 1)
@@ -116,10 +117,14 @@ def mark_terms(counts: DataFrame, n_records: int, too_rare: int = 3, too_common:
 
 
 def repo_terms(rows: DataFrame) -> DataFrame:
-    """field, term, occurrences, repos, mark of tag names and languages in the current repos."""
-    terms = {"tag": name_keys(F.col("tags.name")), "language": name_keys(F.array("primary_language"))}
-    counts = term_counts(repo_names.current(rows, "tags", "primary_language"), terms, heavy_from=rows)
-    return mark_terms(counts, repo_names.count_current(rows)).withColumnRenamed("records", "repos")
+    """field, term, occurrences, repos, mark of tag names and languages in the current repos.
+
+    The keys of the current rows are made and written once, and read for the heavy terms,
+    the counts and the number of repositories."""
+    keys = {"tag": name_keys(F.col("tags.name")), "language": name_keys(F.array("primary_language"))}
+    held = cut_lineage(repo_names.current(rows, "tags", "primary_language").select(*[c.alias(n) for n, c in keys.items()]))
+    counts = term_counts(held, {n: F.col(n) for n in keys})
+    return mark_terms(counts, held.count()).withColumnRenamed("records", "repos")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
