@@ -7,6 +7,11 @@ overestimates how often a window occurs. A second pass takes only the windows wh
 anchor is estimated repeated, and groups them exactly. Neighbouring windows with the
 same anchor travel together as one stretch of text (a run), so that text is moved
 about four times, not `length` times.
+
+The width of the sketch follows the input. Up to BROADCAST_BITS the merged sketch is a
+bit map that every task gets; beyond, it stays a table of blocks, anchors are looked up
+in it by joins, and the texts get the anchors found by one more join. Both ways let the
+same windows through.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ LENGTH = 200
 GRAM = 64
 #: Characters that are hashed at once; windows that cross a cut are made on both sides of it.
 CHUNK = 1 << 20
-#: Slots of the sketch per expected anchor, and bounds of its width in bits.
-SLOTS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 8, 16, 28
+#: Slots of the sketch per expected anchor, its least width in bits, and the width up to which it is broadcast (64 MB).
+SLOTS_PER_ANCHOR, LEAST_BITS, BROADCAST_BITS = 8, 16, 28
+#: Characters of text expected per byte of a stored table; more let the sketch be wider than needed.
+CHARS_PER_BYTE = 2
 #: Slots that are merged as one block.
 BLOCK_BITS = 16
 #: Anchors of a partition after which its sketch is passed on.
@@ -38,6 +45,8 @@ SKETCH_FLUSH = 1 << 22
 RUNS_HELD = 100_000
 #: Different runs of one anchor that are compared in one task; beyond, their windows are grouped across the cluster.
 RUNS_PER_ANCHOR = 8192
+#: Anchors that make up one in ANCHOR_SHARE of a part are told with it: those that are one in HOT_SHARE of all are among them.
+ANCHOR_SHARE = 4096
 #: A run is hot if it makes up at least one in HOT_SHARE of all occurrences, so at most
 #: that many are, and has HOT_LEAST of them; its occurrences are split into HOT_PARTS.
 HOT_SHARE, HOT_LEAST, HOT_PARTS = 1024, 10_000, 64
@@ -174,20 +183,34 @@ def _slots(anchor: np.ndarray, bits: int) -> np.ndarray:
     """The slots of each anchor in the two rows of the sketch, as numbers over both."""
     key = anchor.view(np.uint64)
     mask = np.uint64((1 << bits) - 1)
-    return np.stack([key & mask, ((key >> np.uint64(32)) & mask) + np.uint64(1 << bits)]).astype(np.int64)
+    turned = (key >> np.uint64(32)) | (key << np.uint64(32))
+    return np.stack([key & mask, (turned & mask) + np.uint64(1 << bits)]).astype(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """The partition's sketch, as the touched slots of each block; a slot that was
-    touched more than once is there twice, since 2 is as much as matters."""
+    """The partition's sketch, as the touched slots of each block, with the number of
+    touches; a slot that was touched more than once is there twice, since 2 is as much as
+    matters. Rows without a block tell frequent anchors, and one the number of all."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        slots, n = np.unique(_slots(np.concatenate(held), bits), return_counts=True)
-        slots = np.repeat(slots, np.minimum(n, 2))
-        block, first = np.unique(slots >> BLOCK_BITS, return_index=True)
-        low = (slots & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
+        anchors = np.concatenate(held)
+        both = _slots(anchors, bits)
+        slots, n = np.unique(both, return_counts=True)
+        place = np.repeat(slots, np.minimum(n, 2))
+        block, first = np.unique(place >> BLOCK_BITS, return_index=True)
+        touches = np.add.reduceat(n, np.searchsorted(slots, block << BLOCK_BITS)) if len(block) else n
+        low = (place & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
         parts = [p.tobytes() for p in np.split(low, first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(parts, pa.binary())], names=["block", "slots"])
+        # A frequent anchor has a frequent slot, so hardly any are left to be counted.
+        busy = slots[n * ANCHOR_SHARE >= len(anchors)]
+        anchor, times = np.unique(anchors[np.isin(both[0], busy)], return_counts=True)
+        often = times * ANCHOR_SHARE >= len(anchors)
+        anchor, times = anchor[often], times[often]
+        none = len(anchor) + 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*block.tolist(), *[None] * none], pa.int64()), pa.array([*parts, *[None] * none], pa.binary()), pa.array([*[None] * len(block), *anchor.tolist(), None], pa.int64()), pa.array(np.concatenate((touches, times, [len(anchors)])))],
+            names=["block", "slots", "anchor", "n"],
+        )
 
     held, count = [], 0
     for chunk in _chunks(batches, length):
@@ -206,26 +229,84 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     for part in frame["slots"]:
         slots = np.frombuffer(part, np.uint16)
         total = np.minimum(total + np.minimum(np.bincount(slots, minlength=1 << BLOCK_BITS), 2).astype(np.uint8), 2)
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "twice": [np.packbits(total >= 2, bitorder="little").tobytes()]})
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "n": [int(frame["n"].sum())], "twice": [np.packbits(total >= 2, bitorder="little").tobytes()]})
+
 
+def _width(texts: DataFrame, length: int, gram: int) -> int:
+    """The width in bits for texts of this volume: that of the files where they are read
+    from files, else the number of characters, counted."""
+    leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    chars = sum(sizes) * CHARS_PER_BYTE
+    if any(size >= 1 << 60 for size in sizes):  # Spark's way to say that it doesn't know
+        chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    anchors = chars * 2 // (length - gram + 2) + 1
+    return min(62, max(LEAST_BITS, (anchors * SLOTS_PER_ANCHOR // 2).bit_length()))
 
-def repeated_anchors(texts: DataFrame, length: int, gram: int, bits: int | None = None) -> tuple[np.ndarray, int]:
-    """The merged sketch as a bit map of slots touched at least twice, and its width.
 
-    Its size depends on `bits` alone: two rows of 2^bits slots, at most 2^MOST_BITS, one
-    bit each. A fuller sketch lets more windows through and loses none.
+@dataclass
+class _Sketch:
+    """The merged sketch: a table of blocks (block, n, twice), its width, and the hot anchors."""
+
+    blocks: DataFrame
+    bits: int
+    hot: list[int]
+    anchors: int
+
+    def bit_map(self) -> np.ndarray:
+        """All of it, as bits over both rows; for a width of BROADCAST_BITS at most."""
+        block_bytes = 1 << (BLOCK_BITS - 3)
+        twice = np.zeros((2 << self.bits) // 8, np.uint8)
+        for block, bytes_ in self.blocks.select("block", "twice").toLocalIterator():  # blocks of a fixed number and size
+            twice[block * block_bytes : (block + 1) * block_bytes] = np.frombuffer(bytes_, np.uint8)
+        return twice
+
+
+def sketch(texts: DataFrame, length: int, gram: int, bits: int | None = None) -> _Sketch:
+    """One pass over the texts. A fuller sketch lets more windows through and loses none."""
+    bits = _width(texts, length, gram) if bits is None else bits
+    parts = cut_lineage(texts.mapInArrow(lambda b: _sketch(b, length, gram, bits), "block bigint, slots binary, anchor bigint, n bigint"))
+    told = parts.where("block IS NULL").groupBy("anchor").agg(F.sum("n").alias("n"))
+    total = told.where("anchor IS NULL").agg(F.sum("n")).first()[0] or 0
+    # What the parts don't tell of an anchor is at most one in ANCHOR_SHARE of all.
+    often = told.where(F.col("anchor").isNotNull() & ((F.col("n") + total / ANCHOR_SHARE) * HOT_SHARE >= total)).collect()  # fewer than 2 * HOT_SHARE
+    merged = parts.where("block IS NOT NULL").groupBy("block").applyInPandas(_merge, "block bigint, n bigint, twice binary")
+    return _Sketch(merged, bits, [r.anchor for r in often if r.n > 1], total)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The anchors of each row (its key stands in the third column), each once, with their slots."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            found = [_runs(*chunk, length, gram).anchor for chunk in _chunks(iter([one]), length)]
+            if found:
+                anchor = np.unique(np.concatenate(found))
+                slot1, slot2 = _slots(anchor, bits)
+                key = np.full(len(anchor), one.column(2)[0].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, anchor, slot1, slot2)], names=["row", "anchor", "slot1", "slot2"])
+
+
+def _marked(texts: DataFrame, found: _Sketch, length: int, gram: int) -> DataFrame:
+    """doc_id, text, anchors: the texts that have anchors estimated repeated, with these.
+
+    The way for a sketch too wide to broadcast: anchors meet the blocks of the sketch by
+    two joins; those of a hot block are dealt to HOT_PARTS tasks, and the block goes to
+    each. Then each text meets its own anchors; rows with equal doc_id and text are one.
     """
-    if bits is None:
-        chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
-        anchors = chars * 2 // (length - gram + 2) + 1
-        bits = min(MOST_BITS, max(LEAST_BITS, (anchors * SLOTS_PER_ANCHOR // 2).bit_length()))
-    parts = texts.mapInArrow(lambda b: _sketch(b, length, gram, bits), "block bigint, slots binary")
-    merged = parts.groupBy("block").applyInPandas(_merge, "block bigint, twice binary")
-    block_bytes = 1 << (BLOCK_BITS - 3)
-    twice = np.zeros((2 << bits) // 8, np.uint8)
-    for block, bytes_ in merged.toLocalIterator():  # blocks of a fixed number and size
-        twice[block * block_bytes : (block + 1) * block_bytes] = np.frombuffer(bytes_, np.uint8)
-    return twice, bits
+    bits = found.bits
+    keyed = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = keyed.mapInArrow(lambda b: _anchors(b, length, gram, bits), "row bigint, anchor bigint, slot1 bigint, slot2 bigint").distinct()
+    blocks = cut_lineage(found.blocks)
+    hot = F.broadcast(blocks.where(F.col("n") * HOT_SHARE >= found.anchors).select("block", F.lit(HOT_PARTS).alias("parts")))  # at most 2 * HOT_SHARE rows
+    spread = blocks.join(hot, "block", "left").select("block", "twice", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    for slot in ("slot1", "slot2"):
+        asked = rows.withColumn("block", F.shiftright(slot, BLOCK_BITS)).join(hot, "block", "left")
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        bit = F.expr(f"shiftright(cast(conv(hex(substring(twice, cast(({slot} & {(1 << BLOCK_BITS) - 1}) div 8 as int) + 1, 1)), 16, 10) as int), cast({slot} & 7 as int)) & 1")
+        rows = asked.join(spread, ["block", "part"]).where(bit == 1).select("row", "anchor", "slot1", "slot2")
+    held = rows.groupBy("row").agg(F.collect_list("anchor").alias("anchors"))  # no more than a text has
+    return keyed.dropDuplicates(["row"]).join(held, "row").select("doc_id", "text", "anchors")
 
 
 def _estimated(anchor: np.ndarray, twice: np.ndarray, bits: int) -> np.ndarray:
@@ -243,10 +324,24 @@ def _contents(runs: _Runs, pick: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def _repeated_runs(batches, length, gram, shared) -> Iterator[tuple[_Runs, np.ndarray, np.ndarray, np.ndarray]]:
-    twice, bits = shared.value
-    for chunk in _chunks(batches, length):
-        runs = _runs(*chunk, length, gram)
-        pick = _estimated(runs.anchor, twice, bits)
+    """shared: the broadcast bit map and its width, or None where rows bring their anchors."""
+
+    def chunks():
+        if shared is not None:
+            twice, bits = shared.value
+            for chunk in _chunks(batches, length):
+                runs = _runs(*chunk, length, gram)
+                yield runs, _estimated(runs.anchor, twice, bits)
+            return
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                known = one.column(2).flatten().to_numpy()
+                for chunk in _chunks(iter([one]), length):
+                    runs = _runs(*chunk, length, gram)
+                    yield runs, np.flatnonzero(np.isin(runs.anchor, known))
+
+    for runs, pick in chunks():
         if len(pick):
             yield runs, pick, *_contents(runs, pick, length)
 
@@ -316,10 +411,11 @@ def _window_hashes(texts: pa.Array, windows: np.ndarray, length: int) -> tuple[n
 _RESOLVED = "c1 bigint, c2 bigint, begin bigint, stop bigint, times bigint, w1 bigint, w2 bigint, low bigint, high bigint"
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int, frequent: list[int]) -> Iterator[pa.RecordBatch]:
     """For runs in order of their anchor: which windows of which run stand in another
-    document (begin, stop; w1 null), or, for an anchor with more than `most` runs, the
-    windows themselves, which are still to be grouped (w1, w2)."""
+    document (begin, stop; w1 null), or, for a frequent anchor, whose runs are in several
+    tasks, and one with more than `most` runs, the windows themselves, which are still to
+    be grouped (w1, w2)."""
     names = [*_RUN_COLUMNS, "text"]
 
     def out(c1, c2, begin, stop, times, windows=None) -> pa.RecordBatch:
@@ -365,6 +461,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
     held, hot = None, None
     for batch in batches:
         table = pa.Table.from_batches([batch.select(names)])
+        if frequent:
+            known = np.isin(table.column("anchor").to_numpy(), frequent)
+            if known.any():
+                yield from spread(table.filter(pa.array(known)))
+                table = table.filter(pa.array(~known))
+                if not table.num_rows:
+                    continue
         if hot is not None:
             anchors = table.column("anchor").to_numpy()
             same = int(np.searchsorted(anchors != hot, True)) if (anchors != hot).any() else len(anchors)
@@ -398,7 +501,7 @@ def _cuts(group: np.ndarray, about: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int | None = None, most: int = RUNS_PER_ANCHOR, hot_least: int = HOT_LEAST) -> DataFrame:
+def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int | None = None, most: int = RUNS_PER_ANCHOR, hot_least: int = HOT_LEAST, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """doc_id, span_start, span_end: the maximal stretches of characters that lie in some
     window of `length` characters which also stands in a document with another doc_id.
     Positions count code points from 0; span_end is the first character after the span.
@@ -407,17 +510,25 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     those shorter than `length` share nothing; a null doc_id names no document, its rows
     are left out; rows that repeat a doc_id are one document, and their spans are united.
 
-    Texts are read whole, twice for the sketch and the runs and once more for the places
-    of the runs; what is shuffled are the slots of the sketch, each different repeated
-    run once per task, and two hashes and a place for each occurrence. Windows are held
-    equal by 128 bits of hash.
+    Texts are read whole, three times: for the sketch, the runs and the places of the
+    runs; what is shuffled are the slots of the sketch, each different repeated run once
+    per task, and two hashes and a place for each occurrence. A sketch wider than
+    `broadcast_bits` costs one more reading and a shuffle of anchors and of texts that
+    have repeated ones. Windows are held equal by 128 bits of hash.
     """
     gram = min(gram, length)
     texts = documents.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= length)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = documents.sparkSession.sparkContext.broadcast(repeated_anchors(texts, length, gram, bits))
+    spark, found = documents.sparkSession, sketch(texts, length, gram, bits)
+    if found.bits <= broadcast_bits:
+        shared = spark.sparkContext.broadcast((found.bit_map(), found.bits))
+    else:
+        shared, texts = None, cut_lineage(_marked(texts, found, length, gram))
     runs = texts.mapInArrow(lambda b: _distinct_runs(b, length, gram, shared), "anchor bigint, c1 bigint, c2 bigint, windows bigint, low bigint, high bigint, times bigint, text string")
-    in_order = runs.repartition("anchor").sortWithinPartitions("anchor")
-    resolved = cut_lineage(in_order.mapInArrow(lambda b: _resolve(b, length, most), _RESOLVED))
+    frequent = found.hot
+    # The runs of a frequent anchor go to several tasks.
+    salt = F.when(F.col("anchor").isin(frequent), F.pmod("c1", F.lit(HOT_PARTS))).otherwise(0) if frequent else F.lit(0)
+    in_order = runs.withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("anchor")
+    resolved = cut_lineage(in_order.mapInArrow(lambda b: _resolve(b, length, most, frequent), _RESOLVED))
     columns = ["c1", "c2", "begin", "stop", "times"]
     ready = resolved.where(F.col("w1").isNull()).select(*columns)
     loose = resolved.where(F.col("w1").isNotNull())
