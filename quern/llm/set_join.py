@@ -18,13 +18,26 @@ from quern.session import cut_lineage
 
 #: Width of the table of token counts by hash, from which tokens get their order.
 RARITY_WIDTH = 1 << 16
-#: A prefix token is hot if it holds at least one in HOT_SHARE of the index, so at most that many are; and at least HOT_LEAST rows.
+#: A prefix token, or a class of equal sets, is hot if it holds at least one in HOT_SHARE of
+#: the rows, so at most that many are; and at least HOT_LEAST of them.
 HOT_SHARE, HOT_LEAST = 1024, 4096
-#: Blocks into which the index rows of a hot token are split.
-HOT_BLOCKS = 16
+#: Rows of either side of a hot token, or members of a hot class, that meet in one task.
+BLOCK_ROWS = 4096
 
 
-def classes_of(sets: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _blocks(rows: Column, block_rows: int) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(block_rows)), F.lit(1)).cast("int")
+
+
+def _number(of: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(of), blocks).cast("int")
+
+
+def _all(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
+
+
+def classes_of(sets: DataFrame, min_size: int, hot_least: int = HOT_LEAST, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records with equal sets are one class. Returns the clean sets, the members (side,
     id, class) and the classes (class, tokens, sides).
 
@@ -32,15 +45,35 @@ def classes_of(sets: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame, Da
     (side, id); sets are held equal by 128 bits of hash. Null tokens don't count,
     repeated ones count once, and records with a null id, a null set or fewer than
     min_size tokens are in no class. The clean sets are written once and read for the
-    rarity table, the classes and the members.
+    rarity table, the classes and the members. Members of a hot class meet its name in
+    several blocks.
     """
     clean = sets.where(F.col("id").isNotNull()).select("side", "id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens"))
     clean = clean.where(F.size("tokens") >= max(min_size, 1)).select("side", "id", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), "tokens").alias("h2"))
     clean = cut_lineage(clean)
-    bit = F.col("side") + 1
-    grouped = clean.groupBy("h1", "h2").agg(F.min(F.struct("side", "id")).alias("class"), F.min(bit).bitwiseOR(F.max(bit)).alias("sides"), F.first("tokens").alias("tokens"))
-    members = clean.select("h1", "h2", "side", "id").join(grouped.select("h1", "h2", "class"), ["h1", "h2"]).select("side", "id", "class")
-    return clean, members, grouped.select("class", "tokens", "sides")
+    bit, keys = F.col("side") + 1, ["h1", "h2"]
+    grouped = cut_lineage(clean.groupBy(*keys).agg(F.min(F.struct("side", "id")).alias("class"), F.min(bit).bitwiseOR(F.max(bit)).alias("sides"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")))
+    members = _met(clean.select(*keys, "side", "id"), grouped.select(*keys, "class", "copies"), keys, clean.count(), hot_least, block_rows)
+    return clean, cut_lineage(members.select("side", "id", "class")), grouped.select("class", "tokens", "sides")
+
+
+def _small(rows: DataFrame) -> DataFrame | None:
+    """A table of hot keys (at most 2 * HOT_SHARE rows) to be broadcast; None if there are none."""
+    held = rows.collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(held, rows.schema)) if held else None
+
+
+def _met(rows: DataFrame, one: DataFrame, keys: list[str], total: int, hot_least: int, block_rows: int) -> DataFrame:
+    """rows (keys, id, ...) joined with the one row of `one` (keys, copies, ...) that each
+    key has; a hot key's rows are dealt to blocks and its one row goes to each."""
+    hot = one.where((F.col("copies") >= hot_least) & (F.col("copies") * HOT_SHARE >= total))
+    hot = _small(hot.select(*keys, _blocks(F.col("copies"), block_rows).alias("blocks")))
+    if hot is None:
+        return rows.join(one.drop("copies"), keys)
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("block", _number(F.col("id"), blocks)).drop("blocks")
+    spread = one.drop("copies").join(hot, keys, "left").withColumn("block", _all(blocks)).drop("blocks")
+    return dealt.join(spread, [*keys, "block"]).drop("block")
 
 
 def order_by_rarity(classes: DataFrame, sets: DataFrame, width: int = RARITY_WIDTH) -> DataFrame:
@@ -79,7 +112,7 @@ def _ceil(num: int, den: int, of: Column) -> Column:
     return F.floor((of * num + (den - 1)) / F.lit(den)).cast("int")
 
 
-def similar_classes(classes: DataFrame, sets: DataFrame, threshold: str, between: bool = False, hot_least: int = HOT_LEAST) -> DataFrame:
+def similar_classes(classes: DataFrame, sets: DataFrame, threshold: str, between: bool = False, hot_least: int = HOT_LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """class_a, class_b, overlap, n_union: all pairs of different sets whose Jaccard
     similarity is at least `threshold`, each once.
 
@@ -87,8 +120,8 @@ def similar_classes(classes: DataFrame, sets: DataFrame, threshold: str, between
     are ordered by rarity; a set of n tokens is indexed under its first
     n - ceil(2t/(1+t) n) + 1 and looked up under its first n - ceil(t n) + 1, among
     sets no longer than itself. Length and position bound the overlap before it is
-    counted. Index rows of a token that holds a large part of the index are split into
-    blocks, its lookups sent to each.
+    counted. Where a token holds a large part of the index or of the lookups, both are
+    split into blocks of `block_rows`, and each block of the one meets each of the other.
 
     The index holds tokens as 32-bit hashes, a third of their size. Equal tokens have
     equal hashes, so no pair is lost: overlaps counted on hashes are too large, or, where
@@ -109,15 +142,20 @@ def similar_classes(classes: DataFrame, sets: DataFrame, threshold: str, between
     probe = sized.select("class", "codes", "sides", "n", F.explode(F.sequence(band(_ceil(num, den, size)), band(size))).alias("band"), F.slice("codes", F.lit(1), probe_len).alias("prefix"))
     probe = probe.select("class", "codes", "sides", "n", "band", F.posexplode("prefix").alias("pos", "code"))
 
-    per_key = index.groupBy("code", "band").agg(F.count("*").alias("rows"))
-    total = per_key.agg(F.sum("rows")).first()[0] or 0
-    hot = per_key.where((F.col("rows") >= hot_least) & (F.col("rows") * HOT_SHARE >= total)).select("code", "band", F.lit(HOT_BLOCKS).alias("blocks"))
-    hot = F.broadcast(hot)  # at most HOT_SHARE rows
-    blocks = F.coalesce("blocks", F.lit(1))
-    index = index.join(hot, ["code", "band"], "left").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    probe = probe.join(hot, ["code", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-
-    keys = ["code", "band", "block"]
+    # Every index row is a lookup row too, so one pass over the lookups counts both.
+    own = (F.col("pos") < index_len) & (F.col("band") == band(size))
+    per_key = probe.groupBy("code", "band").agg(F.count("*").alias("probes"), F.count_if(own).alias("rows"))
+    large = cut_lineage(per_key.where((F.col("probes") >= hot_least) | (F.col("rows") >= hot_least)))
+    bands = band(size) - band(_ceil(num, den, size)) + 1
+    rows, probes = sized.agg(F.sum(index_len), F.sum(probe_len * bands)).first()
+    hot = large.where((F.col("rows") * HOT_SHARE >= (rows or 0)) | (F.col("probes") * HOT_SHARE >= (probes or 0)))
+    hot = _small(hot.select("code", "band", _blocks(F.col("rows"), block_rows).alias("nx"), _blocks(F.col("probes"), block_rows).alias("ny")))
+    keys = ["code", "band"]
+    if hot is not None:
+        nx, ny = F.coalesce("nx", F.lit(1)), F.coalesce("ny", F.lit(1))
+        index = index.join(hot, keys, "left").withColumn("bx", _number(F.col("class"), nx)).withColumn("by", _all(ny))
+        probe = probe.join(hot, keys, "left").withColumn("by", _number(F.col("class"), ny)).withColumn("bx", _all(nx))
+        keys += ["bx", "by"]
     x = index.select(*keys, *[F.col(c).alias(f"x_{c}") for c in ("class", "codes", "sides", "n", "pos")])
     y = probe.select(*keys, *[F.col(c).alias(f"y_{c}") for c in ("class", "codes", "sides", "n", "pos")])
     both = x.join(y, keys).where(
@@ -156,22 +194,62 @@ def similar_sets(left: DataFrame, threshold: str = "0.8", min_size: int = 1, rig
     return members, similar_classes(classes, clean, threshold, between=right is not None)
 
 
-def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id_a, id_b (id_a < id_b): the pairs of one table's records, equal sets included."""
-    a, b = (members.select(F.col("class").alias(f"class_{s}"), F.col("id").alias(f"m_{s}")) for s in "ab")
-    across = pairs.join(a, "class_a").join(b, "class_b").select(F.least("m_a", "m_b").alias("id_a"), F.greatest("m_a", "m_b").alias("id_b"))
-    within = a.join(b.withColumnRenamed("class_b", "class_a"), "class_a").where(F.col("m_a") < F.col("m_b")).select(F.col("m_a").alias("id_a"), F.col("m_b").alias("id_b"))
-    return across.unionByName(within)
+def _in_blocks(members: DataFrame, hot_least: int, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The members with the number of their block among `blocks` of their class, and the
+    hot classes (at most HOT_SHARE rows, None for none) with theirs; others are one block."""
+    sizes = members.groupBy("class").agg(F.count("*").alias("copies")).where(F.col("copies") >= hot_least)
+    hot = sizes.where(F.col("copies") * HOT_SHARE >= members.count())
+    hot = _small(hot.select("class", _blocks(F.col("copies"), block_rows).alias("blocks")))
+    if hot is None:
+        return members, None
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = members.join(hot, "class", "left").select("class", "side", "id", blocks.alias("blocks"))
+    return dealt.withColumn("block", _number(F.col("id"), F.col("blocks"))), hot
+
+
+def _with_members(rows: DataFrame, name: str, to: str, dealt: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with each member of the class in column `name`, as column `to`: a row goes to
+    each block of a hot class."""
+    each = dealt.withColumnsRenamed({"class": name, "id": to})
+    if hot is None:
+        return rows.join(each.select(name, to), name)
+    spread = rows.join(hot.withColumnRenamed("class", name), name, "left").withColumn("block", _all(F.coalesce("blocks", F.lit(1)))).drop("blocks")
+    return spread.join(each.select(name, "block", to), [name, "block"]).drop("block")
+
+
+def _within(dealt: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """m_a, m_b: each pair of members of one class, block by block: block i as the one side
+    meets every block from i on as the other."""
+    if hot is None:
+        left, right = (dealt.select("class", F.col("id").alias(f"m_{s}")) for s in "ab")
+        return left.join(right, "class").where(F.col("m_a") < F.col("m_b"))
+    one, two = F.col("block"), F.col("blocks")
+    left = dealt.select("class", F.col("id").alias("m_a"), one.alias("i"), F.explode(F.sequence(one, two - 1)).alias("j"))
+    right = dealt.select("class", F.col("id").alias("m_b"), one.alias("j"), F.explode(F.sequence(F.lit(0), one)).alias("i"))
+    return left.join(right, ["class", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("m_a") < F.col("m_b")))
+
+
+def expand(members: DataFrame, pairs: DataFrame, hot_least: int = HOT_LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id_a, id_b (id_a < id_b): the pairs of one table's records, equal sets included.
+
+    Members of a hot class are in blocks, and pairs of blocks are what meets in a task."""
+    dealt, hot = _in_blocks(members, hot_least, block_rows)
+    across = pairs.select("class_a", "class_b")
+    for s in "ab":
+        across = _with_members(across, f"class_{s}", f"m_{s}", dealt, hot)
+    both = across.select("m_a", "m_b").unionByName(_within(dealt, hot).select("m_a", "m_b"))
+    return both.select(F.least("m_a", "m_b").alias("id_a"), F.greatest("m_a", "m_b").alias("id_b")).where(F.col("id_a") < F.col("id_b"))
 
 
-def links(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def links(members: DataFrame, pairs: DataFrame, hot_least: int = HOT_LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, class_id, copies, links: for each record its class, the class's size and the
     number of other records with a similar or equal set. No pair of records is made."""
     sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
     both = pairs.select(F.col("class_a").alias("class"), F.col("class_b").alias("other")).unionByName(pairs.select(F.col("class_b").alias("class"), F.col("class_a").alias("other")))
     linked = both.join(sizes.select(F.col("class").alias("other"), "copies"), "other").groupBy("class").agg(F.sum("copies").alias("near"))
-    told = sizes.join(linked, "class", "left").select("class", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    return members.join(told, "class").select("id", F.col("class.id").alias("class_id"), "copies", "links")
+    told = sizes.join(linked, "class", "left").select("class", "copies", F.col("copies").alias("n"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    met = _met(members, told, ["class"], members.count(), hot_least, block_rows)
+    return met.select("id", F.col("class.id").alias("class_id"), F.col("n").alias("copies"), "links")
 
 
 def _both_ways(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -181,12 +259,12 @@ def _both_ways(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select(one.alias("class"), two.alias("other")).unionByName(pairs.select(two.alias("class"), one.alias("other"))).unionByName(own)
 
 
-def expand_between(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def expand_between(members: DataFrame, pairs: DataFrame, hot_least: int = HOT_LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id_left, id_right: the pairs of a left and a right record, of similar_sets with
     `right`; equal sets and equal ids included, pairs within one table not."""
-    left = members.where("side = 0").select("class", F.col("id").alias("id_left"))
-    right = members.where("side = 1").select(F.col("class").alias("other"), F.col("id").alias("id_right"))
-    return _both_ways(members, pairs).join(left, "class").join(right, "other").select("id_left", "id_right")
+    dealt, hot = _in_blocks(members, hot_least, block_rows)
+    rows = _with_members(_both_ways(members, pairs), "class", "id_left", dealt.where("side = 0"), hot)
+    return _with_members(rows, "other", "id_right", dealt.where("side = 1"), hot).select("id_left", "id_right")
 
 
 def links_between(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,7 +274,8 @@ def links_between(members: DataFrame, pairs: DataFrame) -> DataFrame:
     sizes = members.groupBy("class", "side").agg(F.count("*").alias("copies"))
     across = sizes.select(F.col("class").alias("other"), (1 - F.col("side")).alias("side"), F.col("copies").alias("n"))
     linked = _both_ways(members, pairs).join(across, "other").groupBy("class", "side").agg(F.sum("n").alias("links"))
-    told = members.join(sizes, ["class", "side"]).join(linked, ["class", "side"], "left")
+    one = sizes.join(linked, ["class", "side"], "left").withColumn("n", F.col("copies"))
+    told = _met(members, one, ["class", "side"], members.count(), HOT_LEAST, BLOCK_ROWS).withColumnRenamed("n", "copies")
     return told.select("side", "id", F.col("class.side").alias("class_side"), F.col("class.id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 

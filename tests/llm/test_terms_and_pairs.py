@@ -46,27 +46,41 @@ def test_only_the_current_row_counts(spark):
     assert repo_names.count_current(df) == 2 and repo_terms(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block, numbered, min_item", [(128, 100_000, 1), (3, 100_000, 1), (3, 100_000, 4), (128, 2, 4)])
-def test_pairs_against_plain_ones(spark, block, numbered, min_item):
+@pytest.mark.parametrize("block, most_bytes, min_item", [(128, 1 << 20, 1), (3, 1 << 20, 1), (3, 1 << 20, 4), (128, 20, 4), (3, 20, 4), (3, 20, 1)])
+def test_pairs_against_plain_ones(spark, block, most_bytes, min_item):
     rng = random.Random(block)
     baskets = [sorted(rng.sample([f"i{k}" for k in range(40)] + ["é", "z z"], rng.randint(0, 14))) for _ in range(120)] + [[], None]
-    df = spark.createDataFrame([(b, 1) for b in baskets], "items array<string>, a int")
+    baskets += baskets[:9]  # equal baskets
+    df = spark.createDataFrame([(b, 1) for b in baskets], "items array<string>, a int").repartition(3)
     single, joint = Counter(), Counter()
     for b in baskets:
         single.update(b or [])
         joint.update(itertools.combinations(b or [], 2))
-    got = {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab, round(r.lift, 9)) for r in cooccurring(df, len(baskets), min_item, 1, block, numbered).collect()}
+    got = {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab, round(r.lift, 9)) for r in cooccurring(df, len(baskets), min_item, 1, block, most_bytes).collect()}
     assert got == {p: (single[p[0]], single[p[1]], n, round(n * len(baskets) / (single[p[0]] * single[p[1]]), 9)) for p, n in joint.items() if min(single[p[0]], single[p[1]]) >= min_item}
     assert cooccurring(df.limit(0), 0).count() == 0 and at_least(5, 1000, 1001) == 6
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, 20])
+def test_rare_items_leave_before_pairs_are_made(spark, most_bytes, monkeypatch):
+    from quern.llm import cooccurrence
+
+    made = []
+    real = cooccurrence._pairs
+    monkeypatch.setattr(cooccurrence, "_pairs", lambda baskets, block: made.append(real(baskets, block).count()) or real(baskets, block))
+    df = spark.createDataFrame([(["a", "b", *sorted(f"r{i}-{k}" for k in range(9))],) for i in range(20)], "items array<string>")
+    (pair,) = cooccurring(df, 20, 5, 1, broadcast_bytes=most_bytes).collect()
+    assert (pair.item_a, pair.item_b, pair.n_ab) == ("a", "b", 20) and made[0] <= 20
+
+
 def _jaccard_at_least(x, y, num=8, den=10):
     return len(x & y) * den >= len(x | y) * num
 
 
-@pytest.mark.parametrize("hot_least", [1, 4096])
-def test_similar_sets_against_all_pairs(spark, hot_least, monkeypatch):
-    monkeypatch.setattr("quern.llm.set_join.similar_classes.__defaults__", (False, hot_least))
+@pytest.mark.parametrize("hot_least, block_rows", [(1, 3), (4096, 4096)])
+def test_similar_sets_against_all_pairs(spark, hot_least, block_rows, monkeypatch):
+    for name, before in (("classes_of", ()), ("similar_classes", (False,)), ("expand", ()), ("links", ())):
+        monkeypatch.setattr(f"quern.llm.set_join.{name}.__defaults__", (*before, hot_least, block_rows))
     rng = random.Random(hot_least)
     base = [rng.sample([f"t{i}" for i in range(60)], rng.randint(3, 14)) for _ in range(60)]
     sets = {}
