@@ -232,7 +232,29 @@ on_view("subsequence_match", lambda v: v.where(fuzzy.matches(F.col("full_name"),
 on_view("search_browse", lambda v: search.search(v, "lang:ferrule stars:>20").select("id", "score"), f"SELECT id, 0.0::DOUBLE AS score FROM cat WHERE {_LANG('ferrule')} AND stargazers > 20")
 QUERIES["search_hybrid"] = lambda spark, sf_dir: search.search(view(spark, sf_dir), "-is:archived reader").select("id", "full_name", "fuzzy", "fts", "score")
 QUERIES["search_fuzzy_only"] = lambda spark, sf_dir: search.search(view(spark, sf_dir), "nflb stars:>3", fts=False).select("id", "full_name", "score")
-on_view("hybrid_fts_only_rows", lambda v: search.search(v, "utilities incremental").where("fuzzy = 0").select("id", F.round("fts", 6).alias("fts"), F.round("score", 6).alias("score")), f", {fulltext.bm25_sql('cat', ['utilities', 'incremental'])} SELECT id, round(rel / (SELECT max(rel) FROM hits), 6) AS fts, round(0.3 * rel / (SELECT max(rel) FROM hits), 6) AS score FROM hits")
+_BEST = f", {fulltext.bm25_sql('cat', ['in'])}, best AS (SELECT * FROM hits ORDER BY rel DESC, id LIMIT 100) SELECT id, round(rel / (SELECT max(rel) FROM best), 6) AS fts, round(0.3 * rel / (SELECT max(rel) FROM best), 6) AS score FROM best JOIN cat USING (id) WHERE NOT regexp_matches(lower(full_name), 'i.*n')"
+
+
+def _fts_only(found: DataFrame) -> DataFrame:
+    return found.where("fuzzy = 0 AND fts > 0").select("id", F.round("fts", 6).alias("fts"), F.round("score", 6).alias("score"))
+
+
+on_view("hybrid_fts_only_rows", lambda v: _fts_only(search.search(v, "in", fts_limit=100)), _BEST)
+
+
+@query(_BEST)
+def hybrid_from_postings(spark, sf_dir):
+    """The same over a written index."""
+    return _fts_only(search.search(view(spark, sf_dir), "in", index=written_index(spark, sf_dir), fts_limit=100))
+
+
+@query("SELECT id, full_name FROM cat WHERE stargazers > 3 ORDER BY starred_at DESC NULLS LAST, stargazers DESC, full_name, id LIMIT 50")
+def search_top(spark, sf_dir):
+    """The first 50 rows of a browsing search, without a global sort."""
+    return search.search(view(spark, sf_dir), "stars:>3", limit=50).select("id", "full_name")
+
+
+QUERIES["search_hybrid_top"] = lambda spark, sf_dir: search.search(view(spark, sf_dir), "-is:archived reader", index=written_index(spark, sf_dir), limit=50).select("id", "full_name", "score")
 
 
 # Display values.

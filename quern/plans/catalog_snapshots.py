@@ -57,9 +57,11 @@ def snapshot_numbers(items: DataFrame) -> list[int]:
     return [r[0] for r in items.where(F.col("snapshot_no").isNotNull()).select("snapshot_no").distinct().orderBy("snapshot_no").collect()]
 
 
-def changes(items: DataFrame) -> DataFrame:
-    """snapshot_no, repo_id, change, slice_no; see diff_snapshots."""
-    out = diff_snapshots(listed_rows(items), "snapshot_no", "repo_id", F.col("content"), "slice_no", snapshot_numbers(items))
+def changes(items: DataFrame, numbers: list[int] | None = None) -> DataFrame:
+    """snapshot_no, repo_id, change, slice_no; see diff_snapshots. numbers: the snapshots
+    delivered, looked for if not given."""
+    numbers = snapshot_numbers(items) if numbers is None else numbers
+    out = diff_snapshots(listed_rows(items), "snapshot_no", "repo_id", F.col("content"), "slice_no", numbers)
     return out.select(F.col("version").cast("int").alias("snapshot_no"), F.col("key").alias("repo_id"), "change", F.col("carried").cast("int").alias("slice_no"))
 
 
@@ -68,8 +70,9 @@ def removed_counts(items: DataFrame, runs: DataFrame) -> DataFrame:
 
     snapshot_no, slice_no, removed (derived, 0 if nothing), logged (may be null), agrees.
     """
-    gone = changes(items).where(F.col("change") == "removed").groupBy("snapshot_no", "slice_no").agg(F.count("*").alias("n"))
-    later = runs.where(F.col("snapshot_no") > F.lit(min(snapshot_numbers(items), default=0))).select("snapshot_no", "slice_no", F.col("removed").alias("logged"))
+    numbers = snapshot_numbers(items)
+    gone = changes(items, numbers).where(F.col("change") == "removed").groupBy("snapshot_no", "slice_no").agg(F.count("*").alias("n"))
+    later = runs.where(F.col("snapshot_no") > F.lit(min(numbers, default=0))).select("snapshot_no", "slice_no", F.col("removed").alias("logged"))
     joined = later.join(gone, ["snapshot_no", "slice_no"], "left")
     removed = F.coalesce("n", F.lit(0))
     return joined.select("snapshot_no", "slice_no", removed.alias("removed"), "logged", removed.eqNullSafe(F.col("logged")).alias("agrees"))
