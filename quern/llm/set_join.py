@@ -145,10 +145,10 @@ def similar_classes(classes: DataFrame, sets: DataFrame, threshold: str, between
     # Every index row is a lookup row too, so one pass over the lookups counts both.
     own = (F.col("pos") < index_len) & (F.col("band") == band(size))
     per_key = probe.groupBy("code", "band").agg(F.count("*").alias("probes"), F.count_if(own).alias("rows"))
-    large = cut_lineage(per_key.where((F.col("probes") >= hot_least) | (F.col("rows") >= hot_least)))
     bands = band(size) - band(_ceil(num, den, size)) + 1
     rows, probes = sized.agg(F.sum(index_len), F.sum(probe_len * bands)).first()
-    hot = large.where((F.col("rows") * HOT_SHARE >= (rows or 0)) | (F.col("probes") * HOT_SHARE >= (probes or 0)))
+    large = lambda c, total: (F.col(c) >= hot_least) & (F.col(c) * HOT_SHARE >= (total or 0))
+    hot = per_key.where(large("rows", rows) | large("probes", probes))
     hot = _small(hot.select("code", "band", _blocks(F.col("rows"), block_rows).alias("nx"), _blocks(F.col("probes"), block_rows).alias("ny")))
     keys = ["code", "band"]
     if hot is not None:
